@@ -40,16 +40,25 @@ ANCHOR = 16
 # --- suffix order by a difference cover -------------------------------------------------------
 
 
-def _dense(keys: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, int]:
-    """Order-preserving names (from 1) of tuples of integers; each key comes with a bound above its values."""
+def _packed(*keys: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    """Tuples of integers as one integer in their order, and a bound; each key comes with a bound above its values."""
     packed, bound = keys[0]
     for values, limit in keys[1:]:
         if bound * limit >= 1 << 62:
-            unique, packed = np.unique(packed, return_inverse=True)
-            bound = len(unique)
+            packed, bound = _named(packed)
         packed, bound = packed * limit + values, bound * limit
-    unique, names = np.unique(packed, return_inverse=True)
-    return names + 1, len(unique) + 1
+    return packed, bound
+
+
+def _named(packed: np.ndarray) -> tuple[np.ndarray, int]:
+    """Dense names from 1, in order, and a bound above them."""
+    order = np.argsort(packed)
+    sorted_ = packed[order]
+    new = np.ones(len(packed), np.int64)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    names = np.empty(len(packed), np.int64)
+    names[order] = np.cumsum(new)
+    return names, int(new.sum()) + 1
 
 
 def suffix_order(symbols: np.ndarray, bound: int, depth: int) -> np.ndarray:
@@ -61,12 +70,13 @@ def suffix_order(symbols: np.ndarray, bound: int, depth: int) -> np.ndarray:
     ones, twos, zeros = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3), np.arange(0, n, 3)
     ones, twos = ones[ones < n + (n % 3 == 1)], twos[twos < n]
     sample = np.concatenate([ones, twos])
-    names, limit = _dense([(s[sample], bound), (s[sample + 1], bound), (s[sample + 2], bound)])
+    names, limit = _packed((s[sample], bound), (s[sample + 1], bound), (s[sample + 2], bound))
+    if limit > 1 << 20:  # else the packed triple is a small enough name, already in order
+        names, limit = _named(names)
     if limit - 1 == len(sample) or depth <= 3:
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
     else:
-        joined = np.concatenate([names[: len(ones)], names[len(ones) :]])
-        order = suffix_order(joined, limit, -(-depth // 3))
+        order = suffix_order(names, limit, -(-depth // 3))
     m = len(sample)
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, m + 1)
@@ -74,11 +84,11 @@ def suffix_order(symbols: np.ndarray, bound: int, depth: int) -> np.ndarray:
     first = first[first < n]
     # Suffixes at multiples of 3: by (symbol, rank of the next), then merged into the sample.
     zero_key = s[zeros] * (m + 1) + rank[zeros + 1]
-    rest = zeros[np.argsort(zero_key, kind="stable")]
+    rest = zeros[np.argsort(zero_key)]
     a1, a2 = first[first % 3 == 1], first[first % 3 == 2]
     before1 = np.searchsorted(s[a1] * (m + 1) + rank[a1 + 1], s[rest] * (m + 1) + rank[rest + 1])
-    pairs, pair_bound = _dense([(np.concatenate([s[a2], s[rest]]), bound), (np.concatenate([s[a2 + 1], s[rest + 1]]), bound)])
-    both = pairs * (m + 1) + np.concatenate([rank[a2 + 2], rank[rest + 2]])
+    either = np.concatenate([a2, rest])
+    both, _ = _packed((s[either], bound), (s[either + 1], bound), (rank[either + 2], m + 1))
     before2 = np.searchsorted(both[: len(a2)], both[len(a2) :])
     at = np.arange(len(rest)) + np.maximum.accumulate(before1) + np.maximum.accumulate(before2)
     out = np.empty(n, np.int64)
@@ -123,7 +133,11 @@ class Runs:
                 continue
             w = _words(buffer)
             n = len(buffer) - ANCHOR + 1
-            h = mix(w[:n] * U64(0x9E3779B97F4A7C15) + w[8 : n + 8] * U64(0xC2B2AE3D27D4EB4F))
+            h = w[:n] * U64(0x9E3779B97F4A7C15)
+            h += w[8 : n + 8] * U64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> U64(32)
+            h *= U64(0xD6E8FEB86659FD93)
+            h ^= h >> U64(29)
             least = _sliding_min((h & U64(0xFFFFFFFF00000000)) | np.arange(n, dtype=U64), spread)
             anchor = (least & U64(0xFFFFFFFF)).astype(np.int64)
             first = np.cumsum(sizes) - sizes
@@ -191,9 +205,10 @@ def class_minima(pieces: list[bytes], least: np.ndarray, length: int) -> tuple[n
     buffer = b"".join(p + b"\0" for p in pieces)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
     first = np.cumsum(sizes) - sizes
-    symbols = np.frombuffer(buffer, np.uint8).astype(np.int64) + 1
-    symbols[first + sizes - 1] = 1
-    order = suffix_order(symbols, 258, length)
+    raw = np.frombuffer(buffer, np.uint8)
+    used = np.bincount(raw, minlength=256) > 0
+    symbols = np.cumsum(used)[raw]  # the bytes that occur, named from 1 in order
+    order = suffix_order(symbols, int(used.sum()) + 1, length)
     counts = sizes - length
     window = np.zeros(len(buffer) + 1, np.int32)
     np.add.at(window, first, 1)

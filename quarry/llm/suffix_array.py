@@ -35,6 +35,8 @@ from quarry.llm.parts import FLAGS, NO_ID, U64, Prints, answers, bodies, chunks,
 
 LENGTH = 50
 ANCHOR = 16
+#: A bucket is sorted in so many slices, dealt by the anchor, to bound its work arrays.
+SLICES = 16
 
 
 # --- suffix order by a difference cover -------------------------------------------------------
@@ -71,9 +73,11 @@ def suffix_order(symbols: np.ndarray, bound: int, depth: int) -> np.ndarray:
     ones, twos = ones[ones < n + (n % 3 == 1)], twos[twos < n]
     sample = np.concatenate([ones, twos])
     names, limit = _packed((s[sample], bound), (s[sample + 1], bound), (s[sample + 2], bound))
+    distinct = False
     if limit > 1 << 20:  # else the packed triple is a small enough name, already in order
         names, limit = _named(names)
-    if limit - 1 == len(sample) or depth <= 3:
+        distinct = limit - 1 == len(sample)
+    if distinct or depth <= 3:
         order = np.argsort(names)
     else:
         order = suffix_order(names, limit, -(-depth // 3))
@@ -166,6 +170,10 @@ class Runs:
         return [texts[r][a:b] for r, a, b in zip(self.row.tolist(), self.start.tolist(), ends.tolist())]
 
 
+def _slice_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys // U64(buckets)) % U64(SLICES)).astype(np.int64)
+
+
 def _sketch(table: pa.Table, buckets: int, length: int) -> pa.Table:
     runs, doc_ids = Runs(bodies(table), length), ids(table)
     return Prints(runs.key, doc_ids[runs.row], buckets).rows(table.column("part")[0].as_py())
@@ -183,21 +191,26 @@ def _pieces(table: pa.Table, flags: pa.Table, buckets: int, length: int) -> pa.T
         part = table.column("part")[0].as_py()
         texts, doc_ids = bodies(table), ids(table)
         runs = _flagged(texts, doc_ids, flags, buckets, length)
-        order = np.argsort(runs.key % U64(buckets), kind="stable")
+        order = np.lexsort((_slice_of(runs.key, buckets), runs.key % U64(buckets)))
         for f in ("row", "start", "count", "key"):
             setattr(runs, f, getattr(runs, f)[order])
         bucket, docs = (runs.key % U64(buckets)).astype(np.int64), doc_ids[runs.row].tolist()
+        which = _slice_of(runs.key, buckets)
         cut = runs.pieces(texts, length)
-        at = group_starts(bucket)
+        sent: dict[int, list[list[bytes]]] = {}
+        at = group_starts(bucket, which)
         for lo, hi in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist()):
             least: dict[bytes, int] = {}
             for piece, doc in zip(cut[lo:hi], docs[lo:hi]):
                 if least.get(piece, NO_ID) >= doc:
                     least[piece] = doc
             sizes = np.fromiter(map(len, least), np.uint16, len(least))
-            rows.append((int(bucket[lo]), part, b"".join(least), sizes.tobytes(), np.fromiter(least.values(), np.int64, len(least)).tobytes()))
+            row = sent.setdefault(int(bucket[lo]), [[b""] * SLICES for _ in range(3)])
+            for column, x in zip(row, (b"".join(least), sizes.tobytes(), np.fromiter(least.values(), np.int64, len(least)).tobytes())):
+                column[int(which[lo])] = x
+        rows = [(k, part, *row) for k, row in sent.items()]
     cols = list(zip(*rows)) or [[]] * 5
-    return pa.table({"bucket": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("pieces", "sizes", "least"), cols[2:])}})
+    return pa.table({"bucket": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), **{n: pa.array(c, pa.list_(pa.binary())) for n, c in zip(("pieces", "sizes", "least"), cols[2:])}})
 
 
 def class_minima(pieces: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,10 +246,21 @@ def class_minima(pieces: list[bytes], least: np.ndarray, length: int) -> tuple[n
 def _classes(table: pa.Table, length: int) -> pa.Table:
     """One bucket: suffix-sorts the distinct pieces of all parts; answers each part with its pieces' windows' smallest documents."""
     parts, bucket = table.column("part").to_pylist(), table.column("bucket")[0].as_py()
+    columns = [table.column(c).to_pylist() for c in ("pieces", "sizes", "least")]
+    out: list[list[bytes]] = [[] for _ in parts]
+    for k in range(SLICES):
+        if any(x[k] for x in columns[0]):
+            for whole, answer in zip(out, _slice_classes(*([x[k] for x in c] for c in columns), length)):
+                whole.append(len(answer).to_bytes(8, "little") + answer)
+    return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([1] * len(parts), pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "body": pa.array([b"".join(x) for x in out], pa.binary())})
+
+
+def _slice_classes(texts: list[bytes], all_sizes: list[bytes], all_docs: list[bytes], length: int) -> list[bytes]:
+    """The answers to all parts for one slice of a bucket: names of pieces, their runs of windows by smallest document."""
     index: dict[bytes, int] = {}
     least: list[int] = []
     sent = []
-    for text, sizes, docs in zip(*(table.column(c).to_pylist() for c in ("pieces", "sizes", "least"))):
+    for text, sizes, docs in zip(texts, all_sizes, all_docs):
         own, at = [], 0
         for size, doc in zip(np.frombuffer(sizes, np.uint16).tolist(), np.frombuffer(docs, np.int64).tolist()):
             piece = text[at : at + size]
@@ -263,7 +287,16 @@ def _classes(table: pa.Table, length: int) -> pa.Table:
         n = per_piece[k]
         take = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         out.append(len(k).to_bytes(8, "little") + names[k].tobytes() + run_doc[take].tobytes() + n.astype(np.uint16).tobytes() + run_len[take].astype(np.uint16).tobytes())
-    return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([1] * len(parts), pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "body": pa.array(out, pa.binary())})
+    return out
+
+
+def _answers(body: bytes):
+    """The slices' answers in a bucket's answer."""
+    at = 0
+    while at < len(body):
+        size = int.from_bytes(body[at : at + 8], "little")
+        yield _answer(body[at + 8 : at + 8 + size])
+        at += 8 + size
 
 
 def _answer(body: bytes) -> tuple[np.ndarray, ...]:
@@ -284,7 +317,7 @@ def _apply(table: pa.Table, flags: pa.Table, buckets: int, length: int, with_tex
     sizes = np.array([len(t) for t in texts], np.int64)
     removed, spans = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     cuts: dict[int, list[tuple[int, int]]] = {}
-    found = [_answer(x) for x in answers(flags, 1).values()]
+    found = [a for x in answers(flags, 1).values() for a in _answers(x)]
     if len(texts) and found:
         runs = _flagged(texts, doc_ids, flags, buckets, length)
         names, counts, minima = (np.concatenate(x) for x in zip(*found))
@@ -329,7 +362,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool
     texts = deal(docs, parts, keep)
     sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, length=length), "bucket int, part int, prints binary, twice binary")
     flags = sketches.groupBy("bucket").applyInArrow(merge_sketches, FLAGS).repartition(parts, "part")
-    pieces = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(paired(_pieces, buckets=parts, length=length), "bucket int, part int, pieces binary, sizes binary, least binary")
+    pieces = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(paired(_pieces, buckets=parts, length=length), "bucket int, part int, pieces array<binary>, sizes array<binary>, least array<binary>")
     classes = pieces.groupBy("bucket").applyInArrow(grouped(_classes, length=length), FLAGS).repartition(parts, "part")
     both = flags.unionByName(classes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from quarry.llm.quality import op2_quality_divergence
+from quarry.llm.simhash import op5_simhash_near_dedup
 from quarry.llm.substring_dedup import op4_substring_dedup
 from quarry.llm.suffix_array import op1_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_divergence, op4_substring_dedup, op5_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}

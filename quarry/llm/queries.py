@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from quarry.llm.branch_bound import OP8_SQL, op8_exact_top_k
+from quarry.llm.class_lm import op6_class_ngram_scoring
+from quarry.llm.piece_bpe import op9_sentencepiece
 from quarry.llm.quality import op2_quality_divergence
 from quarry.llm.simhash import op5_simhash_near_dedup
 from quarry.llm.substring_dedup import op4_substring_dedup
 from quarry.llm.suffix_array import op1_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_divergence, op4_substring_dedup, op5_simhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup,
+        op2_quality_divergence,
+        op4_substring_dedup,
+        op5_simhash_near_dedup,
+        op6_class_ngram_scoring,
+        op8_exact_top_k,
+        op9_sentencepiece,
+    )
+}
+ORACLES = {"op8_exact_top_k": OP8_SQL}

@@ -29,13 +29,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, checkpoint_dir: s
     return session
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame computed once and read back from the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (one machine, tests) a folder under the working directory's
-    warehouse is chosen.
+    Only where that setting is missing (one machine, tests) it is one in the session's warehouse.
     """
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame computed once and read back from the shared folder."""
     context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{frame.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stream_table(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
-    """A growing folder of Parquet files as a stream."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    """A growing folder of Parquet files, or a single file, as a stream."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        reader, path = reader.option("pathGlobFilter", where.getName()), where.getParent().toString()
+    return reader.parquet(path)
 
 
 def streamed(counts: Callable[[DataFrame], DataFrame], stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:

@@ -14,6 +14,11 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row: lambdas evaluate outer expressions for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _same_size(x: Column, y: Column, value: Column) -> Column:
     return F.when(F.size(x) != F.size(y), F.raise_error(F.lit("Arrays have different length")).cast("double")).otherwise(value)
 
@@ -36,18 +41,23 @@ def squared_distance_with_missing(x, y) -> Column:
     return _same_size(x, y, F.when(F.coalesce(scaled, F.lit(0.0)) == 0.0, F.lit(1.7976931348623157e308)).otherwise(scaled))
 
 
+def _divergence(p: Column, q: Column) -> Column:
+    both = F.filter(F.arrays_zip(p.alias("p"), q.alias("q")), lambda z: (z["p"] != 0) & (z["q"] != 0))
+    total = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda s, z: s + z["p"] * F.log(z["p"] / z["q"]))
+    return let(both, lambda pairs: F.when(F.size(pairs) == 0, F.lit(float("inf"))).otherwise(total(pairs)))
+
+
 def kullback_leibler(p, q) -> Column:
     """Sum of p ln(p / q) where both are positive; infinite without such a place."""
-    p, q = _col(p), _col(q)
-    both = F.filter(F.arrays_zip(p.alias("p"), q.alias("q")), lambda z: (z["p"] != 0) & (z["q"] != 0))
-    total = F.aggregate(both, F.lit(0.0), lambda s, z: s + z["p"] * F.log(z["p"] / z["q"]))
-    return _same_size(p, q, F.when(F.size(both) == 0, F.lit(float("inf"))).otherwise(total))
+    return let(F.struct(_col(p).alias("p"), _col(q).alias("q")), lambda z: _same_size(z["p"], z["q"], _divergence(z["p"], z["q"])))
 
 
 def jensen_shannon(p, q) -> Column:
-    p, q = _col(p), _col(q)
-    middle = F.zip_with(p, q, lambda a, b: (a + b) / 2)
-    return (kullback_leibler(p, middle) + kullback_leibler(q, middle)) / 2
+    def halves(z: Column) -> Column:
+        middle = F.zip_with(z["p"], z["q"], lambda a, b: (a + b) / 2)
+        return let(middle, lambda m: (_divergence(z["p"], m) + _divergence(z["q"], m)) / 2)
+
+    return let(F.struct(_col(p).alias("p"), _col(q).alias("q")), lambda z: _same_size(z["p"], z["q"], halves(z)))
 
 
 def dot(x, y) -> Column:
@@ -70,8 +80,7 @@ def norm2(x) -> Column:
 
 
 def unitize1(x) -> Column:
-    n = norm1(x)
-    return F.transform(_col(x), lambda a: a / n)
+    return let(_col(x), lambda v: let(norm1(v), lambda n: F.transform(v, lambda a: a / n)))
 
 
 def dot_with_intercept(x, weights, position: int = 0) -> Column:
@@ -83,9 +92,8 @@ def dot_with_intercept(x, weights, position: int = 0) -> Column:
 
 
 def softmax(x) -> Column:
-    x = _col(x)
-    shifted = F.transform(x, lambda a: F.exp(a - F.array_max(x)))
-    return F.transform(shifted, lambda a: a / _sum(shifted))
+    shifted = lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda a: F.exp(a - m)))
+    return let(_col(x), lambda v: let(shifted(v), lambda e: let(_sum(e), lambda t: F.transform(e, lambda a: a / t))))
 
 
 def logistic(x) -> Column:

@@ -24,7 +24,7 @@ def support_count(minimum: float, transactions: int) -> int:
     """A count stays; a fraction below 1 becomes ceil(fraction * transactions)."""
     if minimum <= 0:
         raise ValueError(f"Invalid minimum support: {minimum}")
-    return math.ceil(minimum * transactions) if minimum < 1 else int(minimum)
+    return math.ceil(round(minimum * transactions, 9)) if minimum < 1 else int(minimum)
 
 
 def power_set(items: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.functions.vector import logistic, softmax
+from quarry.functions.vector import let, logistic, softmax
 
 HIDDEN = {"LogisticSigmoid": (lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40))), lambda o: o * (1 - o)), "Tanh": (np.tanh, lambda o: 1 - o * o)}
 
@@ -130,16 +130,19 @@ class Network:
 
     def forward(self, features: str = "features") -> Column:
         """The output units as ARRAY<DOUBLE>, an expression."""
-        x = F.col(features)
-        for k, w in enumerate(self.weights):
-            z = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in row]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for row in w])
+
+        def layer(k: int, x: Column) -> Column:
+            dots = [F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in row]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for row in self.weights[k]]
             kind = self.output if k == len(self.weights) - 1 else self.hidden
-            x = z if kind == "Linear" else softmax(z) if kind == "SoftMax" else F.transform(z, F.tanh if kind == "Tanh" else logistic)
-        return x
+            z = F.array(*dots)
+            out = z if kind == "Linear" else softmax(z) if kind == "SoftMax" else F.transform(z, F.tanh if kind == "Tanh" else logistic)
+            return out if k == len(self.weights) - 1 else let(out, lambda v: layer(k + 1, v))
+
+        return layer(0, F.col(features))
 
     def predict(self, features: str = "features") -> Column:
         """Regression: the output.  One unit: class 0 above one half.  Else the largest unit."""
         out = self.forward(features)
         if self.kind == "regression":
             return out[0]
-        return (out[0] <= 0.5).cast("int") if self.layers[-1] == 1 else (F.array_position(out, F.array_max(out)) - 1).cast("int")
+        return (out[0] <= 0.5).cast("int") if self.layers[-1] == 1 else let(out, lambda v: F.array_position(v, F.array_max(v)) - 1).cast("int")

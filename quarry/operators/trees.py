@@ -204,8 +204,8 @@ class Forest:
     def predict(self, classes: int) -> Column:
         """The majority of the trees as one expression: no shuffle."""
         each = F.array(*[t.predict() for t in self.trees])
-        n = [F.struct(F.size(F.filter(each, lambda x, k=k: x == k)).alias("n"), F.lit(-k).alias("k")) for k in range(classes)]
-        return -F.array_max(F.array(*n))["k"]
+        count = lambda k: F.size(F.filter(each, lambda x: x == k))
+        return -F.array_max(F.array(*[F.struct(count(k).alias("n"), F.lit(-k).alias("k")) for k in range(classes)]))["k"]
 
     @staticmethod
     def mllib(rows: DataFrame, features: str = "features", label: str = "label", trees: int = 100, seed: int = 0, node_size: int = 5):

@@ -37,9 +37,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Loops and repeated edges are allowed; no edges give no rows.
     """
-    edges = edges.select("src", "dst")
-    loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
-    edges = checkpointed(edges.where(F.col("src") != F.col("dst")).distinct())
+    whole = checkpointed(edges.select("src", "dst").distinct())
+    loops = whole.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
+    edges = whole.where(F.col("src") != F.col("dst"))
     if not edges.isEmpty():
         before = None
         for _ in range(max_rounds):

@@ -1,6 +1,12 @@
 import corpus_pipeline
 from quarry.llm.packing import packed
-from tests.llm import test_quality, test_simhash, test_suffix_array
+from quarry.llm.simhash import similar_groups
+from tests.llm import test_quality, test_suffix_array
+
+
+def shingles(text, k=5):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
 def test_stages_match_brute_force(spark, sf):
@@ -11,16 +17,25 @@ def test_stages_match_brute_force(spark, sf):
     want = [r[0] for r in test_quality.brute([(r.doc_id, r.text, r.lang) for r in rows.values()]) if r[-1]]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
     one = stages["near_dedup"](spark, kept, sf)
-    left = [(i, rows[i].text) for i in want]
-    prints = [test_simhash.print_of(t, 5) for _, t in left]
-    root = test_simhash.classes(prints)
-    least = {}
-    for (i, _), r in zip(left, root):
-        least[r] = min(i, least.get(r, i))
-    assert sorted(r.doc_id for r in one.collect()) == sorted(least.values())
+    stay = {r.doc_id for r in one.collect()}
+    sets = {i: shingles(rows[i].text) for i in want}
+    groups = {r.doc_id: r.component_id for r in similar_groups(kept).collect()}
+    assert stay == {i for i, c in groups.items() if i == c} and one.columns == docs.columns
+    # Linked texts are alike; texts of similarity 0.8 or more are found, but for the odd pair.
+    near = lost = 0
+    for i in want:
+        for j in want:
+            if j < i and sets[i] & sets[j]:
+                alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                near += alike >= 0.8
+                lost += alike >= 0.8 and groups[i] != groups[j]
+    assert near and lost <= near / 10
+    for i in want:
+        if groups[i] != i:
+            assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in want if j != i and groups[j] == groups[i]) > 0.6
     clean = stages["suffix_array_dedup"](spark, one, sf)
     assert clean.columns == docs.columns
-    removed = {r[0]: (r[1], r[2]) for r in test_suffix_array.brute([(i, rows[i].text) for i in least.values()])}
+    removed = {r[0]: (r[1], r[2]) for r in test_suffix_array.brute([(i, rows[i].text) for i in stay])}
     for r in clean.collect():
         n, gone = removed[r.doc_id]
         assert len(r.text.encode()) <= n - gone and (gone or r.text == rows[r.doc_id].text) and r.n_chars == len(r.text)

@@ -18,6 +18,7 @@ ids has the component null); an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -26,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from quarry.llm.components import connected_components
-from quarry.llm.parts import group_starts, grouped, mix, part_count
+from quarry.llm.parts import NO_ID, group_starts, grouped, mix, paired, part_count
 from quarry.session import checkpointed
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 CHUNK = 4096
-#: For similar texts: shingles, bytes of the fingerprint, bytes of a band, and the radius.  Texts of
-#: Jaccard similarity 0.8 differ in 77 of 512 bits on average (deviation 8), unrelated ones in 256.
-SIMILAR_SHINGLE, WIDE_BYTES, BAND_BYTES, WIDE_RADIUS = 5, 64, 2, 90
+#: For similar texts: shingles, similarity, bytes of the fingerprint, bytes of a band, and the
+#: distances by which candidates are linked.  Texts of Jaccard similarity 0.8 differ in 77 of 512
+#: bits on average (deviation 8), unrelated ones in 256; the last level is four deviations up.
+SIMILAR_SHINGLE, SIMILARITY, WIDE_BYTES, BAND_BYTES = 5, 0.8, 64, 2
+LEVELS = (50, 60, 70, 80, 90, 100, 110)
 
 
 def shingle_hashes(text: bytes, shingle: int):
@@ -73,7 +76,7 @@ def wide_fingerprint(text: bytes, shingle: int) -> bytes:
     for hashes in shingle_hashes(text, shingle):
         for lo in range(0, len(hashes), 8192):
             h = hashes[lo : lo + 8192]
-            mixed = np.stack([mix(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(WIDE_BYTES // 8)], axis=1)
+            mixed = np.stack([mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(WIDE_BYTES // 8)], axis=1)
             counts += _bit_counts(np.unpackbits(mixed.view(np.uint8), axis=1))
         total += len(hashes)
     return np.packbits(2 * counts > total).tobytes()
@@ -141,8 +144,40 @@ def _stars(left: list[int], right: list[int], radius: int) -> list[tuple[int, in
     return [(every[find(i)], x) for i, x in enumerate(every) if find(i) != i]
 
 
-def _shard_links(table: pa.Table, radius: int) -> pa.Table:
-    """The stars of all shards in one bin."""
+def _forest(left: list[int], right: list[int], levels: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Pairs, fewer than nodes at each level, that connect at every level what the pairs within it connect.
+
+    The nearest pairs come first, so a link between similar texts is not replaced by one over a
+    text that is further away.
+    """
+    every = left + right
+    roots = [list(range(len(every))) for _ in levels]
+
+    def find(root: list[int], i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    tree, out = BKTree(), []
+    for i, value in enumerate(every):
+        found = tree.within(value, levels[-1]) if right == [] or i >= len(left) else ()
+        for d, j in sorted(((value ^ every[j]).bit_count(), j) for j in found):
+            joins = False
+            for root in roots[bisect_left(levels, d) :]:
+                a, b = find(root, i), find(root, j)
+                if a == b:  # and so at all further levels
+                    break
+                root[max(a, b)], joins = min(a, b), True
+            if joins:
+                out.append((every[j], value))
+        if i < len(left):
+            tree.add(value)
+    return out
+
+
+def _shard_links(table: pa.Table, radius: int | tuple[int, ...]) -> pa.Table:
+    """The stars of all shards in one bin (of wide fingerprints: the forests)."""
     shard, i, j, mine, prints = (table.column(c).to_numpy() for c in ("shard", "i", "j", "mine", "print"))
     wide = prints.dtype == object
     order = np.lexsort((np.arange(len(mine)) if wide else prints, mine, j, i, shard))
@@ -154,7 +189,7 @@ def _shard_links(table: pa.Table, radius: int) -> pa.Table:
         if b - a > 1:
             values, side = [int.from_bytes(x, "big") for x in prints[a:b]] if wide else prints[a:b].astype(np.int64).view(np.uint64).tolist(), mine[a:b]
             cut = b - a if i[a] == j[a] else int((side == i[a]).sum())
-            pairs += _stars(values[:cut], values[cut:], radius)
+            pairs += (_forest if wide else _stars)(values[:cut], values[cut:], radius)
     if wide:
         names = {p: xxh3_64_intdigest(p.to_bytes(WIDE_BYTES, "big")) for pair in pairs for p in pair}
         pairs = [(names[p], names[q]) for p, q in pairs]
@@ -171,8 +206,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFra
     return _linked(shards, radius, chunk, part_count(nodes))
 
 
-def _linked(shards: DataFrame, radius: int, chunk: int, bins: int) -> DataFrame:
-    """The stars of (shard, print): every shard in one task, or in a task for each pair of its chunks."""
+def _linked(shards: DataFrame, radius: int | tuple[int, ...], chunk: int, bins: int) -> DataFrame:
+    """The stars or forests of (shard, print): every shard in one task, or in a task for each pair of its chunks."""
     crowded = shards.groupBy("shard").count().where(F.col("count") > chunk).select("shard", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     sized = shards.join(crowded, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     sized = sized.withColumn("mine", F.pmod(F.xxhash64("print"), "chunks").cast("int"))
@@ -197,19 +232,46 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, component_id): groups of texts with a Jaccard similarity of about 0.8 or more on their shingles.
+def _alike(edges: pa.Table, texts: pa.Table, shingle: int, similarity: float) -> pa.Table:
+    """The edges of one bin whose texts have the similarity, by their sets of shingles."""
+    sets = {n: np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])) for n, t in zip(texts.column("node").to_pylist(), texts.column("body").to_pylist())}
+    keep = []
+    for a, b in zip(edges.column("src").to_pylist(), edges.column("dst").to_pylist()):
+        x, y = sets[a], sets[b]
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+    return edges.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(edges: DataFrame, prints: DataFrame, bodies: DataFrame, shingle: int, similarity: float, bins: int) -> DataFrame:
+    """The edges between similar texts.  A bin gets a node's text once, so a hub costs one row a bin at most."""
+    edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src != dst").distinct()
+    edges = checkpointed(edges.withColumn("bin", F.pmod(F.xxhash64("src", "dst"), F.lit(bins)).cast("int")))
+    needs = edges.select("bin", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    # One text stands for a node: found by id and hash, since rows may share an id.
+    stands = prints.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("one"))
+    stands = stands.join(needs.select("node").distinct(), "node").select("node", "one.*")
+    texts = bodies.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("body").alias("text_hash"), "body")
+    texts = texts.join(stands, ["id", "text_hash"]).select("node", "body").dropDuplicates(["node"])
+    sent = needs.join(texts, "node").select(F.col("bin").alias("at"), "node", "body")
+    return edges.groupBy("bin").cogroup(sent.groupBy("at")).applyInArrow(paired(_alike, shingle=shingle, similarity=similarity), "src long, dst long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of `similarity` or more on their shingles.
 
     64 bits cannot tell such pairs from others, so fingerprints have 512.  A shard holds those that
-    agree on a band of 16 bits; its BK-tree is searched within the radius.  A pair of similarity 0.8
-    shares one of the 32 bands with probability 0.91, one of 0.85 with 0.98, one of 0.9 with 0.998.
+    agree on a band of 16 bits; its BK-tree finds the candidates within the last of `levels`, and a
+    forest of them is checked exactly on the shingles.  A pair of similarity 0.8 shares one of the 32
+    bands with probability 0.91, one of 0.85 with 0.98, one of 0.9 with 0.998.  Texts with one
+    fingerprint count as one text.
     """
 
     def run(batches):
         for batch in batches:
             prints = [wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             names = np.array([xxh3_64_intdigest(p) for p in prints], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "node", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "node", "print"])
 
     def bands(batches):
         for batch in batches:
@@ -219,15 +281,17 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, radius: int
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), count)))], ["shard", "print"])
 
     bodies = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    prints = checkpointed(bodies.mapInArrow(run, "doc_id long, node long, print binary"))
+    prints = checkpointed(bodies.withColumn("text_hash", F.xxhash64("body")).mapInArrow(run, "doc_id long, text_hash long, node long, print binary"))
     shards = prints.select("print").distinct().mapInArrow(bands, "shard long, print binary")
-    groups = connected_components(_linked(shards, radius, CHUNK, part_count(docs)))
+    bins = part_count(docs)
+    links = _verified(_linked(shards, levels, CHUNK, bins), prints, bodies, shingle, similarity, bins)
+    groups = connected_components(links)
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "node").join(nodes.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents whose id is the smallest of their group of similar texts (documents without an id stay)."""
-    gone = similar_groups(docs, shingle, radius).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = similar_groups(docs, shingle, similarity).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -2,17 +2,23 @@
 
 Learned from the training documents, those whose crc32 of the id as text modulo 5 is not 1:
 
-1. Counts of all words, exact: tasks send their distinct words (64-bit hashes) with counts to
-   buckets, which add them up to the vocabulary.  It stays distributed.
-2. The TOP most frequent words are clustered: a dense matrix of their bigram counts (bounded by TOP
-   and the number of shapes) is summed over the tasks, and the exchange algorithm moves each word to
-   the class that raises the likelihood most, until a sweep moves none.  All other words, of the
-   training texts or not, fall into classes by shape (length, digits, characters beyond ASCII).
-3. score = sum of log10 P(class | class before) + log10 P(word | class), both with add-1/2
+1. Texts are dealt into parts and kept there as positions in the part's distinct words (64-bit
+   hashes).  Exact counts of all words: parts send their distinct words with counts to buckets, which
+   add them up to the vocabulary.  It stays distributed.
+2. The SEED most frequent words are clustered by the exchange algorithm on the driver, on a dense
+   matrix of bigram counts (bounded by SEED and the number of shapes), all other words standing in
+   classes by shape (length, digits, characters beyond ASCII).  This is only where step 3 starts.
+3. Sweeps of the exchange over every training word, however rare: parts send each of their words'
+   counts by class of the neighbours to its bucket, the bucket adds them up, moves each word to the
+   class that raises the likelihood most (all words of a sweep by the same class bigram counts) and
+   answers the parts with the new classes.  The driver holds a matrix of the classes alone.  Sweeps
+   end when the likelihood no longer rises (that sweep is taken back) or after ROUNDS.  Shapes are
+   left to words that are in no training text.
+4. score = sum of log10 P(class | class before) + log10 P(word | class), both with add-1/2
    smoothing; the class of a text's end stands before its first word.
 
-Counts of a part's distinct words are looked up in their buckets and sent back, so no task holds
-the vocabulary.  base_score is the smoothed unigram score.
+Classes and counts of a part's distinct words come back from their buckets, so no task holds the
+vocabulary.  base_score is the smoothed unigram score.
 
 Defined cases: a null or empty text has one token, its end; a null id counts as the empty text in
 crc32 (so it is in training) and comes back as null; repeated rows count every time; without
@@ -33,10 +39,13 @@ from xxhash import xxh3_64_intdigest
 from quarry.llm.parts import FLAGS, NO_ID, U64, answers, bodies, chunks, deal, group_starts, grouped, ids, paired, part_count
 from quarry.session import checkpointed
 
-#: Words that are clustered, their classes, and sweeps of the exchange at most.
-TOP, CLASSES, SWEEPS = 512, 32, 20
+#: Words that are clustered first, classes, sweeps over these words and over all words at most.
+SEED, CLASSES, SWEEPS, ROUNDS = 512, 32, 20, 2
 #: Shapes: three lengths by digit or not by ASCII or not; the last one is the end of a text.
 SHAPES = 13
+#: All classes, and the columns of a word's counts: by class after it, by class before it, beside itself.
+K = CLASSES + SHAPES
+OUT, INTO, OWN = 0, K, 2 * K
 END = b"\n"
 FOLDS, HELD_OUT = 5, 1
 
@@ -85,45 +94,92 @@ def _by_bucket(keys: np.ndarray, buckets: int):
         yield int(bucket[order[lo]]), order[lo:hi]
 
 
+def _pack(x: np.ndarray | None) -> bytes | None:
+    """An array as bytes: its size, then its bytes by place, compressed."""
+    if x is None:
+        return None
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1 if len(x) else 1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _table(rows: list[tuple], ints: list[str], blobs: list[str]) -> pa.Table:
-    cols = list(zip(*rows)) or [[]] * (len(ints) + len(blobs))
+    """Rows of integers and of arrays, which are packed."""
+    cols = list(zip(*([*r[: len(ints)], *map(_pack, r[len(ints) :])] for r in rows))) or [[]] * (len(ints) + len(blobs))
     return pa.table({n: pa.array(c, pa.int32() if n in ints else pa.binary()) for n, c in zip([*ints, *blobs], cols)})
 
 
-def _count(batches, buckets: int):
+CODED = "part int, docs binary, sizes binary, words binary, shapes binary, positions binary"
+
+
+def _code(table: pa.Table) -> pa.Table:
+    t = Tokens(bodies(table))
+    row = (table.column("part")[0].as_py(), ids(table), t.n, t.unique, t.shape.astype(np.uint8), t.index().astype(np.int32))
+    return _table([row], ["part"], ["docs", "sizes", "words", "shapes", "positions"])
+
+
+class Coded:
+    """The texts of one part (a row of CODED) as positions in its distinct words."""
+
+    def __init__(self, part: int, docs: bytes, sizes: bytes, words: bytes, shapes: bytes, positions: bytes):
+        self.part, self.docs, self.n = part, _unpack(docs, np.int64), _unpack(sizes, np.int64)
+        self.unique, self.shape = _unpack(words, U64), _unpack(shapes, np.uint8).astype(np.int64)
+        self.at = _unpack(positions, np.int32)
+        self.held = np.array([held_out(i) for i in self.docs.tolist()], bool)
+        self.train = np.repeat(~self.held, self.n)
+        self.first = np.cumsum(self.n) - self.n
+
+    def before(self, symbol: np.ndarray, end: int) -> np.ndarray:
+        """What stands before each token, the end of a text before its first one."""
+        out = np.concatenate([symbol[:1], symbol[:-1]]).astype(np.int64)
+        out[self.first] = end
+        return out
+
+
+def coded(batches):
     for batch in batches:
-        texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held_out(i)]
-        t = Tokens(texts)
-        counts = np.bincount(t.index(), minlength=len(t.unique))
-        rows = [(k, t.unique[x].tobytes(), counts[x].tobytes(), t.shape[x].astype(np.uint8).tobytes()) for k, x in _by_bucket(t.unique, buckets)]
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            yield Coded(*row)
+
+
+def _count(batches, buckets: int):
+    for c in coded(batches):
+        counts = np.bincount(c.at[c.train], minlength=len(c.unique))
+        seen = np.flatnonzero(counts)
+        words, counts, shapes = c.unique[seen], counts[seen], c.shape[seen]
+        rows = [(k, words[x], counts[x], shapes[x].astype(np.uint8)) for k, x in _by_bucket(words, buckets)]
         yield from _table(rows, ["bucket"], ["words", "counts", "shapes"]).to_batches()
 
 
 def _add(table: pa.Table) -> pa.Table:
     """One bucket of the vocabulary: words, counts and shapes, sorted by word."""
-    words, counts, shapes = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("words", U64), ("counts", np.int64), ("shapes", np.uint8)))
+    words, counts, shapes = (np.concatenate([_unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("words", U64), ("counts", np.int64), ("shapes", np.uint8)))
     unique, first, at = np.unique(words, return_index=True, return_inverse=True)
     total = np.zeros(len(unique), np.int64)
     np.add.at(total, at, counts)
-    return _table([(table.column("bucket")[0].as_py(), unique.tobytes(), total.tobytes(), shapes[first].tobytes())], ["bucket"], ["words", "counts", "shapes"])
+    return _table([(table.column("bucket")[0].as_py(), unique, total, shapes[first])], ["bucket"], ["words", "counts", "shapes"])
 
 
 def vocabulary(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, words, counts, shapes) of the training documents in (doc_id, body)."""
+    """(bucket, words, counts, shapes) of the training documents in CODED."""
     schema = "bucket int, words binary, counts binary, shapes binary"
 
     def run(batches):
         yield from _count(batches, buckets)
 
-    return texts.select("doc_id", "body").mapInArrow(run, schema).groupBy("bucket").applyInArrow(_add, schema)
+    return texts.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_add, schema)
 
 
 def _top(batches):
-    """The TOP words of each bucket (kind 1), and its words and tokens by shape (kind 0)."""
+    """The SEED words of each bucket (kind 1), and its words and tokens by shape (kind 0)."""
     for batch in batches:
         for words, counts, shapes in zip(*(batch.column(c).to_pylist() for c in ("words", "counts", "shapes"))):
-            w, c, s = np.frombuffer(words, U64), np.frombuffer(counts, np.int64), np.frombuffer(shapes, np.uint8)
-            best = np.lexsort((w, -c))[:TOP]
+            w, c, s = _unpack(words, U64), _unpack(counts, np.int64), _unpack(shapes, np.uint8)
+            best = np.lexsort((w, -c))[:SEED]
             n, v = np.bincount(s, c, SHAPES).astype(np.int64), np.bincount(s, minlength=SHAPES)
             kind = np.repeat([1, 0], [len(best), SHAPES])
             yield pa.RecordBatch.from_arrays(
@@ -177,34 +233,6 @@ def exchange(bigrams: np.ndarray, top: int, classes: int = CLASSES, sweeps: int
     return of
 
 
-class Model:
-    """What scoring needs besides the counts: classes of the top words, transitions, totals by class."""
-
-    def __init__(self, top: list[tuple[int, int, int]], by_shape: dict[int, tuple[int, int]], bigrams: np.ndarray):
-        words = np.array([w for w, _, _ in top], np.int64).view(U64)
-        order = np.argsort(words)
-        of = exchange(bigrams, len(top))
-        self.words, self.of_word = words[order], of[: len(top)][order]
-        k = CLASSES + SHAPES
-        self.tokens, self.types = np.zeros(k), np.zeros(k)
-        for (_, s, n), c in zip(top, of):
-            self.tokens[c] += n
-            self.types[c] += 1
-            self.tokens[CLASSES + s] -= n
-            self.types[CLASSES + s] -= 1
-        for s, (n, v) in by_shape.items():
-            self.tokens[CLASSES + s] += n
-            self.types[CLASSES + s] += v
-        self.train_tokens, self.train_types = int(self.tokens.sum()), int(self.types.sum())
-        member = np.zeros((len(bigrams), k))
-        member[np.arange(len(bigrams)), of] = 1
-        pairs = member.T @ bigrams @ member
-        self.transition = np.log10((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * k))
-
-    def classes(self, unique: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        return _symbols(self.words, self.of_word, CLASSES, unique, shapes)
-
-
 def _symbols(words: np.ndarray, numbers: np.ndarray, first_shape: int, unique: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """The number of each distinct word if it is a top word, else that of its shape."""
     out = first_shape + shapes
@@ -214,93 +242,206 @@ def _symbols(words: np.ndarray, numbers: np.ndarray, first_shape: int, unique: n
     return out
 
 
+def _sum_rows(table: pa.Table) -> pa.Table:
+    rows = [_unpack(x, np.int64) for x in table.column("counts").to_pylist()]
+    return pa.table({"symbol": table.column("symbol")[:1], "counts": pa.array([_pack(np.sum(rows, axis=0))], pa.binary())})
+
+
+def _matrix(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of rows (symbol, counts) as a square matrix."""
+    out = np.zeros((size, size))
+    for r in rows.groupBy("symbol").applyInArrow(_sum_rows, "symbol int, counts binary").collect():
+        out[r["symbol"]] = _unpack(r["counts"], np.int64)
+    return out
+
+
 def bigram_counts(texts: DataFrame, top: list[tuple[int, int, int]]) -> np.ndarray:
-    """Counts of neighbouring symbols in the training documents, a matrix of (TOP + SHAPES) squared at most."""
+    """Counts of neighbouring symbols in the training documents, a matrix of (SEED + SHAPES) squared at most."""
     words = np.array([w for w, _, _ in top], np.int64).view(U64)
     order = np.argsort(words)
     words, numbers, size = words[order], order, len(top) + SHAPES
 
     def run(batches):
         total = np.zeros((size, size), np.int64)
-        for batch in batches:
-            t = Tokens([x for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held_out(i)])
-            symbol = _symbols(words, numbers, len(top), t.unique, t.shape)[t.index()]
-            before = np.concatenate([[size - 1], symbol[:-1]]).astype(np.int64)
-            total += np.bincount(before * size + symbol, minlength=size * size).reshape(size, size) if len(symbol) else 0
+        for c in coded(batches):
+            symbol = _symbols(words, numbers, len(top), c.unique, c.shape)[c.at]
+            pairs = (c.before(symbol, size - 1) * size + symbol)[c.train]
+            total += np.bincount(pairs, minlength=size * size).reshape(size, size)
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i].tobytes() for i in at], pa.binary())], ["symbol", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([_pack(total[i]) for i in at], pa.binary())], ["symbol", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]
-        return pa.table({"symbol": table.column("symbol")[:1], "counts": pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())})
+    return _matrix(texts.mapInArrow(run, "symbol int, counts binary"), size)
 
-    schema = "symbol int, counts binary"
-    summed = texts.select("doc_id", "body").mapInArrow(run, schema).groupBy("symbol").applyInArrow(add, schema)
-    out = np.zeros((size, size))
-    for r in summed.collect():
-        out[r["symbol"]] = np.frombuffer(r["counts"], np.int64)
+
+#: A part's words with their classes and counts by column (bucket 0 and up), or a row of the class bigrams (symbol).
+SENT = "bucket int, part int, symbol int, words binary, classes binary, sizes binary, columns binary, counts binary"
+
+
+def _send(c: Coded, of: np.ndarray, buckets: int, last: bool = False) -> pa.Table:
+    """SENT of one part, `of` being the classes of its distinct words; the class bigrams alone, if no sweep follows."""
+    end = int(np.flatnonzero(c.shape == SHAPES - 1)[0])
+    second, first = c.at.astype(np.int64)[c.train], c.before(c.at, end)[c.train]
+    pairs = np.bincount(of[first] * K + of[second], minlength=K * K).reshape(K, K).astype(np.int64)
+    rows = [(None, None, int(i), None, None, None, None, pairs[i]) for i in np.flatnonzero(pairs.any(axis=1))]
+    if last:
+        return _table(rows, ["bucket", "part", "symbol"], ["words", "classes", "sizes", "columns", "counts"])
+    own, width = first == second, 2 * K + 1
+    keys = np.concatenate([first[~own] * width + OUT + of[second[~own]], second[~own] * width + INTO + of[first[~own]], first[own] * width + OWN])
+    keys, counts = np.unique(keys, return_counts=True)
+    moves = keys // width != end
+    keys, counts = keys[moves], counts[moves]
+    sizes = np.bincount(keys // width, minlength=len(c.unique))
+    start = np.cumsum(sizes) - sizes
+    columns, counts = (keys % width).astype(np.uint8), counts.astype(np.int32)
+    for k, x in _by_bucket(c.unique, buckets):
+        n = sizes[x]
+        at = np.repeat(start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append((k, c.part, None, c.unique[x], of[x].astype(np.uint8), n.astype(np.uint8), columns[at], counts[at]))
+    return _table(rows, ["bucket", "part", "symbol"], ["words", "classes", "sizes", "columns", "counts"])
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_classes(word: np.ndarray, column: np.ndarray, n: np.ndarray, of: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class below CLASSES to which each word adds most likelihood, by the class bigrams `m` without the word itself.
+
+    The counts of the words (numbered by `word`) lie in `column` and `n`; the class a word is in wins
+    against equal ones, then the smallest.
+    """
+    size, b = len(of), np.arange(CLASSES)
+    counts = np.zeros((size, 2 * K + 1))
+    counts[word, column] = n
+    out, into, own = counts[:, OUT : OUT + K], counts[:, INTO : INTO + K], counts[:, OWN]
+    is_now = of[:, None] == b
+    gain = np.zeros((size, CLASSES))
+    for this, other, matrix, first in ((out, into, m, OUT), (into, out, m.T, INTO)):
+        e = np.flatnonzero((column >= first) & (column < first + K))
+        w, y, add = word[e], column[e] - first, n[e].astype(np.float64)[:, None]
+        beside, now = (y == of[w])[:, None], is_now[w]
+        rest = matrix[:CLASSES, y].T - beside * other[w, :CLASSES]
+        rest -= now * (add + beside * own[w][:, None])
+        change = np.where(b == y[:, None], 0.0, _f(rest + add) - _f(rest))
+        starts = group_starts(w)
+        if len(starts):
+            gain[w[starts]] += np.add.reduceat(change, starts)
+        total = (this.sum(1) + own)[:, None]
+        margin = matrix.sum(1)[:CLASSES] - is_now * total
+        gain -= _f(margin + total) - _f(margin)
+    both = out[:, :CLASSES] + into[:, :CLASSES] + own[:, None]
+    rest = m[b, b] - is_now * both
+    gain += _f(rest + both) - _f(rest)
+    top = gain.max(axis=1, keepdims=True)
+    near = gain >= top - 1e-9 * np.maximum(1.0, np.abs(top))
+    stay = (near & is_now).any(axis=1)
+    return np.where(stay, of, np.argmax(near, axis=1))
+
+
+def _move(table: pa.Table, m: np.ndarray) -> pa.Table:
+    """New classes (kind 0) and counts (kind 1) of the words each part sent to a bucket; words by class (kind 2)."""
+    bucket, parts = table.column("bucket")[0].as_py(), table.column("part").to_pylist()
+    sent = [[_unpack(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("words", U64), ("classes", np.uint8), ("sizes", np.uint8), ("columns", np.uint8), ("counts", np.int32))]
+    words, classes, sizes, columns, counts = map(np.concatenate, sent)
+    unique, first, at = np.unique(words, return_index=True, return_inverse=True)
+    width, of = 2 * K + 1, classes[first].astype(np.int64)
+    keys, which = np.unique(np.repeat(at, sizes) * width + columns, return_inverse=True)
+    n = np.bincount(which, counts, len(keys)).astype(np.int64)
+    word, column = keys // width, keys % width
+    total = np.bincount(word, n * ((column < INTO) | (column == OWN)), len(unique)).astype(np.int64)
+    for lo in range(0, len(unique), 1 << 14):
+        hi = min(lo + (1 << 14), len(unique))
+        a, b = np.searchsorted(word, [lo, hi])
+        found = best_classes(word[a:b] - lo, column[a:b], n[a:b], of[lo:hi], m)
+        of[lo:hi] = np.where(total[lo:hi] > 0, found, of[lo:hi])
+    rows, start = [(-1, 2, bucket, np.bincount(of[total > 0], minlength=K).astype(np.int64))], 0
+    for part, x in zip(parts, sent[0]):
+        own = at[start : start + len(x)]
+        start += len(x)
+        rows += [(part, 0, bucket, of[own].astype(np.uint8)), (part, 1, bucket, total[own])]
+    return _table(rows, ["part", "kind", "bucket"], ["body"])
+
+
+def _packed(c: Coded, found: pa.Table, kind: int, dtype, buckets: int) -> np.ndarray:
+    """What the buckets answered for each distinct word of a part."""
+    got, out = answers(found, kind), np.zeros(len(c.unique), np.int64)
+    for k, x in _by_bucket(c.unique, buckets):
+        out[x] = _unpack(got[k], dtype)
     return out
 
 
-def learn(texts: DataFrame, words: DataFrame) -> Model:
-    """The model of (doc_id, body) and its vocabulary; what comes to the driver is bounded by TOP and SHAPES."""
+def _send_again(table: pa.Table, found: pa.Table, buckets: int, last: bool) -> pa.Table:
+    (c,) = coded(table.to_batches())
+    return _send(c, _packed(c, found, 0, np.uint8, buckets), buckets, last)
+
+
+def likelihood(m: np.ndarray) -> float:
+    return _f(m).sum() - _f(m.sum(0)).sum() - _f(m.sum(1)).sum()
+
+
+class Model:
+    """What scoring needs besides classes and counts of words: transitions, tokens and types by class."""
+
+    def __init__(self, m: np.ndarray, types: np.ndarray):
+        self.tokens, self.types = m.sum(0), types.astype(np.float64)
+        self.types[K - 1] = self.tokens[K - 1] > 0
+        self.train_tokens, self.train_types = int(self.tokens.sum()), int(self.types.sum())
+        self.transition = np.log10((m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * K))
+
+
+def learn(texts: DataFrame, words: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
+    """The model of CODED and its vocabulary, and what the buckets answer the parts (FLAGS)."""
     found = words.mapInArrow(_top, "kind int, word long, shape int, n long, v long")
-    sums = found.where("kind = 0").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    top = found.where(f"kind = 1 AND shape != {SHAPES - 1}").orderBy(F.desc("n"), "word").limit(TOP).collect()
+    top = found.where(f"kind = 1 AND shape != {SHAPES - 1}").orderBy(F.desc("n"), "word").limit(SEED).collect()
     top = [(r["word"], r["shape"], r["n"]) for r in top]
-    return Model(top, {r["shape"]: (r["n"], r["v"]) for r in sums}, bigram_counts(texts, top))
-
+    hashes = np.array([w for w, _, _ in top], np.int64).view(U64)
+    order, bigrams = np.argsort(hashes), bigram_counts(texts, top)
+    of = exchange(bigrams, len(top))
+    hashes, of_word = hashes[order], of[: len(top)][order]
+    member = np.zeros((len(bigrams), K))
+    member[np.arange(len(bigrams)), of] = 1
+    m = member.T @ bigrams @ member
 
-def _ask(table: pa.Table, buckets: int) -> pa.Table:
-    t = Tokens(bodies(table))
-    part = table.column("part")[0].as_py()
-    return _table([(k, part, t.unique[x].tobytes()) for k, x in _by_bucket(t.unique, buckets)], ["bucket", "part"], ["words"])
-
-
-def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
-    known = np.frombuffer(words.column("words")[0].as_py(), U64) if len(words) else np.zeros(0, U64)
-    counts = np.frombuffer(words.column("counts")[0].as_py(), np.int64) if len(words) else np.zeros(0, np.int64)
-    rows = []
-    for part, bucket, mine in zip(*(asked.column(c).to_pylist() for c in ("part", "bucket", "words"))):
-        mine = np.frombuffer(mine, U64)
-        at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
-        found = np.where(known[at] == mine, counts[at], 0) if len(known) else np.zeros(len(mine), np.int64)
-        rows.append((part, 0, bucket, found.astype(np.int64).tobytes()))
-    return _table(rows, ["part", "kind", "bucket"], ["body"])
+    def run(batches):
+        for c in coded(batches):
+            yield from _send(c, _symbols(hashes, of_word, CLASSES, c.unique, c.shape), buckets).to_batches()
+
+    sent, best = texts.mapInArrow(run, SENT), None
+    for k in range(ROUNDS):
+        answered = checkpointed(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(grouped(_move, m=m), FLAGS))
+        sent = checkpointed(texts.groupBy("part").cogroup(answered.where("kind = 0").groupBy("part")).applyInArrow(paired(_send_again, buckets=buckets, last=k == ROUNDS - 1), SENT))
+        m = _matrix(sent.where("symbol IS NOT NULL").select("symbol", "counts"), K)
+        if best is not None and likelihood(m) <= likelihood(best[0]):
+            break
+        best = m, answered
+    m, answered = best
+    types = sum((_unpack(r["body"], np.int64) for r in answered.where("kind = 2").select("body").collect()), np.zeros(K, np.int64))
+    return Model(m, types), answered.where("kind != 2")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _score(table: pa.Table, found: pa.Table, buckets: int, model: Model) -> pa.Table:
-    doc_ids, t = ids(table), Tokens(bodies(table))
-    got, counts = answers(found, 0), np.zeros(len(t.unique), np.int64)
-    for k, x in _by_bucket(t.unique, buckets):
-        counts[x] = np.frombuffer(got[k], np.int64)
+    (c,) = coded(table.to_batches())
+    of, counts = _packed(c, found, 0, np.uint8, buckets), _packed(c, found, 1, np.int64, buckets)
+    counts[c.shape == SHAPES - 1] = model.tokens[K - 1]
     n, v = model.train_tokens, model.train_types
     base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
-    of = model.classes(t.unique, t.shape)
     emission = np.log10((counts + 0.5) / (model.tokens[of] + 0.5 * (model.types[of] + 1)))
-    at = t.index()
-    symbol = of[at]
-    first = np.cumsum(t.n) - t.n
-    before = np.concatenate([[0], symbol[:-1]]) if len(symbol) else symbol
-    before[first] = CLASSES + SHAPES - 1
-    scores = model.transition[before, symbol] + emission[at]
-    out = [np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in ((counts[at] > 0).astype(np.int64), base[at], scores)]
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), "held_out": pa.array([held_out(i) for i in doc_ids.tolist()], pa.bool_()), "n_tokens": pa.array(t.n), "n_known": pa.array(out[0], pa.int64()), "train_tokens": pa.array([n] * len(doc_ids), pa.int64()), "base_score": pa.array(out[1], pa.float64()), "score": pa.array(out[2], pa.float64())})
+    symbol = of[c.at]
+    scores = model.transition[c.before(symbol, K - 1), symbol] + emission[c.at]
+    out = [np.add.reduceat(x, c.first) for x in ((counts[c.at] > 0).astype(np.int64), base[c.at], scores)]
+    return pa.table({"doc_id": pa.array(c.docs, pa.int64(), mask=c.docs == NO_ID), "held_out": pa.array(c.held, pa.bool_()), "n_tokens": pa.array(c.n), "n_known": pa.array(out[0], pa.int64()), "train_tokens": pa.array([n] * len(c.docs), pa.int64()), "base_score": pa.array(out[1], pa.float64()), "score": pa.array(out[2], pa.float64())})
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """RESULT for every document."""
     parts = part_count(docs)
-    scan = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    words = checkpointed(vocabulary(scan, parts))
-    model = learn(scan, words)
-    texts = deal(docs, parts)
-    asked = texts.groupBy("part").applyInArrow(grouped(_ask, buckets=parts), "bucket int, part int, words binary")
-    found = asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(paired(_answer), FLAGS)
-    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(paired(_score, buckets=parts, model=model), RESULT)
+    texts = checkpointed(deal(docs, parts).groupBy("part").applyInArrow(_code, CODED))
+    words = checkpointed(vocabulary(texts, parts))
+    model, answered = learn(texts, words, parts)
+    return texts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(paired(_score, buckets=parts, model=model), RESULT)
 
 
 def op6_class_ngram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -6,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quarry.llm.class_lm import exchange, score_texts
+from quarry.llm.class_lm import CLASSES, K, best_classes, exchange, likelihood, score_texts
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -68,3 +69,43 @@ def test_exchange_raises_likelihood():
     m = rng.integers(0, 20, (43, 43)).astype(float)
     start = np.concatenate([np.minimum(np.arange(40), 5), 6 + np.arange(3)])
     assert likelihood(exchange(m, 40, classes=6)) > likelihood(start)
+
+
+def test_rare_words_are_classed_by_exchange(spark):
+    from quarry.llm.class_lm import SEED
+
+    rnd = random.Random(3)
+    first, second = [f"a{i:03d}" for i in range(SEED)], [f"b{i:03d}" for i in range(SEED)]
+    docs = [(5 * i, " ".join(w for _ in range(60) for w in (rnd.choice(first), rnd.choice(second)))) for i in range(400)]
+    # p stands where first words stand, q where second words stand.
+    rare = [(3000 + i, " ".join(x for _ in range(3) for x in (f"p{i % 9}xx", rnd.choice(second), rnd.choice(first), f"q{i % 9}xx"))) for i in range(90)]
+    rare = [(i, t.replace("xx p", f"xx {first[i % SEED]} {second[i % SEED]} p")) for i, t in rare]
+    held = [i for i in range(5000, 5200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    right, wrong = [(held[i], f"a001 b001 p{i}xx b002") for i in range(9)], [(held[9 + i], f"a001 b001 q{i}xx b002") for i in range(9)]
+    rows = [r for r in docs + rare if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    # p and q words have one shape and are below the SEED words; only the exchange tells them apart.
+    scores = {r.doc_id: r.score for r in check(spark, rows + right + wrong)}
+    assert sum(scores[i] for i, _ in right) > sum(scores[i] for i, _ in wrong) + 9
+
+
+def test_best_classes_as_by_brute_force():
+    rng = np.random.default_rng(1)
+    words = 30
+    bigrams = rng.integers(0, 4, (words, words)).astype(float)
+    of = np.concatenate([rng.integers(0, 4, 20), rng.integers(CLASSES, K, 10)])
+
+    def matrix(of):
+        m = np.zeros((K, K))
+        np.add.at(m, (of[:, None].repeat(words, 1), of[None].repeat(words, 0)), bigrams)
+        return m
+
+    rows = []
+    for w in range(words):
+        other = np.arange(words) != w
+        counts = np.concatenate([np.bincount(of[other], bigrams[w, other], K), np.bincount(of[other], bigrams[other, w], K), [bigrams[w, w]]])
+        rows += [(w, c, counts[c]) for c in np.flatnonzero(counts)]
+    word, column, n = (np.array(x) for x in zip(*rows))
+    found = best_classes(word, column, n, of, matrix(of))
+    for w in range(words):
+        tried = [likelihood(matrix(np.where(np.arange(words) == w, c, of))) for c in range(CLASSES)]
+        assert tried[found[w]] == pytest.approx(max(tried))

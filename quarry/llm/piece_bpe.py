@@ -9,7 +9,7 @@ Only the vocabulary (pieces, scores, kinds) is read from the model file; merging
   neighbouring pair, takes the least rank of each segment, merges its occurrences from the left
   without overlap, and compacts the array; segments without a pair drop out.
 * The library merges one pair at a time, best rank and leftmost first.  Merging all occurrences at
-  once gives the same unless a merge makes a pair of still better rank; where one would, only the
+  once gives the same unless a merge makes a pair of better or equal rank; where one would, only the
   leftmost occurrence of that segment is merged in the round.
 * Symbols that are no pieces become byte pieces.  Decoding joins the surfaces of the ids, bytes
   included, marks as spaces, without the leading one.
@@ -127,7 +127,7 @@ def _apart(hit: np.ndarray) -> np.ndarray:
 
 
 def _safe(v: Vocabulary, symbol: np.ndarray, segment: np.ndarray, best: np.ndarray, pair: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """The hits, but only the leftmost in segments where one of several merges would make a pair of better rank."""
+    """The hits, but only the leftmost in segments where one of several merges would make a pair of better or equal rank."""
     own = segment[hit]
     starts = group_starts(own)
     sizes = np.diff(np.append(starts, len(hit)))
@@ -144,7 +144,7 @@ def _safe(v: Vocabulary, symbol: np.ndarray, segment: np.ndarray, best: np.ndarr
     joined[1:] = (h[1:] == h[:-1] + 2) & (segment[h[1:]] == segment[h[:-1]])
     left = np.where(joined, np.concatenate([new[:1], new[:-1]]), before)
     for a, b in ((new, after), (before, new), (left, new)):
-        unsafe |= v.rank[v.pair(a, b)] < best[h]
+        unsafe |= v.rank[v.pair(a, b)] <= best[h]
     bad = np.isin(own, segment[h[unsafe]])
     first = np.zeros(len(hit), bool)
     first[starts] = True

@@ -35,3 +35,9 @@ def test_query_rows(spark):
 def test_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert {tuple(r) for r in detokenized(tokenized(docs)).collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_runs_of_every_length():
+    texts = [t for n in range(1, 131) for t in ("a" + " " * n + "b", " " * n, "a" * n, "a\n" + " " * n + "return x")]
+    for text, own, ids in zip(texts, Codec(default_model()).encode(texts), MODEL.encode(texts, num_threads=1)):
+        assert own == ids, text

@@ -4,7 +4,9 @@ Two histograms are taken of every text: characters by class, and words by common
 the last bin holds all other words).  The reference of a language is the sum over its documents
 that pass the base rules, so it is learned from the whole table.  A document of at least
 `min_words` words is rejected if the Jensen-Shannon distance (base 2, square root) of either
-histogram from the reference is over its limit; shorter ones are not judged by divergence.  A
+histogram from the reference is over its limit; shorter ones are not judged by divergence.  The
+limit for words follows the reference: a document is rejected too if it is at least as far from it as
+a text without any common word (not if under MIN_COMMON of the reference's words are common).  A
 language with less than `min_share` of all words (so there are at most 1 / min_share references)
 and a null language are compared with the reference of all languages together.
 
@@ -40,6 +42,8 @@ INDEX = {w.encode(): k for k, w in enumerate(WORDS)}
 CLASSES, SPACES, SYMBOLS = 7, b" \t\n\v\f\r", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_JUDGED, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_SHARE = 100, 0.28, 0.50, 0.001
+#: Share of common words from which a reference sets a limit of its own for words.
+MIN_COMMON = 0.05
 STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>"
 
 
@@ -152,9 +156,20 @@ def both_distances(classes: np.ndarray, common: np.ndarray, langs: list, known:
     return [distances(h.astype(np.float64), np.array([r[i] for r in rows], np.float64)) for i, h in enumerate((classes, common))]
 
 
+def word_limits(langs: list, known: dict, most: float) -> np.ndarray:
+    """The word distance over which a document of each language is rejected: that of a text without common words, `most` at most."""
+    none, limits = np.zeros((1, len(WORDS) + 1)), {}
+    none[0, -1] = 1
+    for lang, (_, words) in known.items():
+        reference = np.array([words], np.float64)
+        judges = reference[0, :-1].sum() >= MIN_COMMON * max(1.0, reference.sum())
+        limits[lang] = min(most, distances(none, reference)[0] * (1 - 1e-9)) if judges else most
+    return np.array([limits.get(x, limits.get(None, most)) for x in langs], np.float64)
+
+
 def diverges(n_words: np.ndarray, classes: np.ndarray, common: np.ndarray, langs: list, known: dict) -> np.ndarray:
     by_class, by_word = both_distances(classes, common, langs, known)
-    return (n_words >= MIN_JUDGED) & ((by_class > MAX_CLASS_DISTANCE) | (by_word > MAX_WORD_DISTANCE))
+    return (n_words >= MIN_JUDGED) & ((by_class > MAX_CLASS_DISTANCE) | (by_word > word_limits(langs, known, MAX_WORD_DISTANCE)))
 
 
 def quality(docs: DataFrame, min_judged: int = MIN_JUDGED, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_share: float = MIN_SHARE) -> DataFrame:
@@ -165,14 +180,15 @@ def quality(docs: DataFrame, min_judged: int = MIN_JUDGED, max_class: float = MA
     def run(batches):
         for batch in batches:
             hists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in ("classes", "common")]
-            out = both_distances(*hists, batch.column("lang").to_pylist(), known)
+            langs = batch.column("lang").to_pylist()
+            out = [*both_distances(*hists, langs, known), word_limits(langs, known, max_word)]
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *map(pa.array, out)], [*names, "class_distance", "word_distance"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *map(pa.array, out)], [*names, "class_distance", "word_distance", "word_limit"])
 
     counts = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    judged = stats.mapInArrow(run, f"{counts}, class_distance double, word_distance double")
-    differs = (F.col("n_words") >= min_judged) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word))
-    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~differs)
+    judged = stats.mapInArrow(run, f"{counts}, class_distance double, word_distance double, word_limit double")
+    differs = (F.col("n_words") >= min_judged) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > F.col("word_limit")))
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~differs).drop("word_limit")
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,15 @@ def test_odd_rows(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert got(docs) == [] and drop_low_quality(docs).count() == 0
+
+
+def test_words_alone_reject_a_text(spark):
+    rnd = random.Random(8)
+    say = lambda n, v: " ".join(rnd.choice(v) for _ in range(n))
+    names = ["".join(rnd.choice("etaoinshr") for _ in range(4)) + "x" for _ in range(3000)]
+    rows = [(i, say(300, ["the", "of", "and", "to", *names[:12], *names[:3000:250]]) + " " + say(300, names), "en") for i in range(30)] + [(99, say(300, names), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality(docs).collect()}
+    assert not found[99].base_failed and found[99].class_distance <= MAX_CLASS_DISTANCE
+    assert [i for i, r in found.items() if not r.base_failed and not r.kept] == [99]
+    assert 99 not in {r.doc_id for r in drop_low_quality(docs).collect()}

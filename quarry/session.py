@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, checkpoint_dir: str | None = None, memory: str = "8g") -> SparkSession:
@@ -38,8 +40,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame computed once and read back from the shared folder."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
-    return frame.checkpoint(eager=True)
+    """The frame computed once, written as a table in the shared folder and read back; `freed` deletes it."""
+    path = f"{shared_folder(frame.sparkSession)}/quarry-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return reread(frame.sparkSession, path, frame.schema)
+
+
+def reread(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def freed(frame: DataFrame) -> None:
+    """Deletes the table behind what `checkpointed` returned, once nothing reads it any more."""
+    spark, path = frame.sparkSession, frame._quarry_path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.parts import FLAGS, NO_ID, U64, answers, bodies, chunks, deal, group_starts, grouped, ids, paired, part_count
+from quarry.llm.parts import FLAGS, NO_ID, U64, answers, bodies, chunks, deal, group_starts, grouped, ids, pack, paired, part_count, unpack
 from quarry.session import checkpointed
 
 #: Words that are clustered first, classes, sweeps over these words and over all words at most.
@@ -94,22 +94,9 @@ def _by_bucket(keys: np.ndarray, buckets: int):
         yield int(bucket[order[lo]]), order[lo:hi]
 
 
-def _pack(x: np.ndarray | None) -> bytes | None:
-    """An array as bytes: its size, then its bytes by place, compressed."""
-    if x is None:
-        return None
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1 if len(x) else 1).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(x: bytes, kind) -> np.ndarray:
-    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _table(rows: list[tuple], ints: list[str], blobs: list[str]) -> pa.Table:
     """Rows of integers and of arrays, which are packed."""
-    cols = list(zip(*([*r[: len(ints)], *map(_pack, r[len(ints) :])] for r in rows))) or [[]] * (len(ints) + len(blobs))
+    cols = list(zip(*([*r[: len(ints)], *map(pack, r[len(ints) :])] for r in rows))) or [[]] * (len(ints) + len(blobs))
     return pa.table({n: pa.array(c, pa.int32() if n in ints else pa.binary()) for n, c in zip([*ints, *blobs], cols)})
 
 
@@ -126,9 +113,9 @@ class Coded:
     """The texts of one part (a row of CODED) as positions in its distinct words."""
 
     def __init__(self, part: int, docs: bytes, sizes: bytes, words: bytes, shapes: bytes, positions: bytes):
-        self.part, self.docs, self.n = part, _unpack(docs, np.int64), _unpack(sizes, np.int64)
-        self.unique, self.shape = _unpack(words, U64), _unpack(shapes, np.uint8).astype(np.int64)
-        self.at = _unpack(positions, np.int32)
+        self.part, self.docs, self.n = part, unpack(docs, np.int64), unpack(sizes, np.int64)
+        self.unique, self.shape = unpack(words, U64), unpack(shapes, np.uint8).astype(np.int64)
+        self.at = unpack(positions, np.int32)
         self.held = np.array([held_out(i) for i in self.docs.tolist()], bool)
         self.train = np.repeat(~self.held, self.n)
         self.first = np.cumsum(self.n) - self.n
@@ -157,7 +144,7 @@ def _count(batches, buckets: int):
 
 def _add(table: pa.Table) -> pa.Table:
     """One bucket of the vocabulary: words, counts and shapes, sorted by word."""
-    words, counts, shapes = (np.concatenate([_unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("words", U64), ("counts", np.int64), ("shapes", np.uint8)))
+    words, counts, shapes = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("words", U64), ("counts", np.int64), ("shapes", np.uint8)))
     unique, first, at = np.unique(words, return_index=True, return_inverse=True)
     total = np.zeros(len(unique), np.int64)
     np.add.at(total, at, counts)
@@ -178,7 +165,7 @@ def _top(batches):
     """The SEED words of each bucket (kind 1), and its words and tokens by shape (kind 0)."""
     for batch in batches:
         for words, counts, shapes in zip(*(batch.column(c).to_pylist() for c in ("words", "counts", "shapes"))):
-            w, c, s = _unpack(words, U64), _unpack(counts, np.int64), _unpack(shapes, np.uint8)
+            w, c, s = unpack(words, U64), unpack(counts, np.int64), unpack(shapes, np.uint8)
             best = np.lexsort((w, -c))[:SEED]
             n, v = np.bincount(s, c, SHAPES).astype(np.int64), np.bincount(s, minlength=SHAPES)
             kind = np.repeat([1, 0], [len(best), SHAPES])
@@ -243,15 +230,15 @@ def _symbols(words: np.ndarray, numbers: np.ndarray, first_shape: int, unique: n
 
 
 def _sum_rows(table: pa.Table) -> pa.Table:
-    rows = [_unpack(x, np.int64) for x in table.column("counts").to_pylist()]
-    return pa.table({"symbol": table.column("symbol")[:1], "counts": pa.array([_pack(np.sum(rows, axis=0))], pa.binary())})
+    rows = [unpack(x, np.int64) for x in table.column("counts").to_pylist()]
+    return pa.table({"symbol": table.column("symbol")[:1], "counts": pa.array([pack(np.sum(rows, axis=0))], pa.binary())})
 
 
 def _matrix(rows: DataFrame, size: int) -> np.ndarray:
     """The sum of rows (symbol, counts) as a square matrix."""
     out = np.zeros((size, size))
     for r in rows.groupBy("symbol").applyInArrow(_sum_rows, "symbol int, counts binary").collect():
-        out[r["symbol"]] = _unpack(r["counts"], np.int64)
+        out[r["symbol"]] = unpack(r["counts"], np.int64)
     return out
 
 
@@ -268,7 +255,7 @@ def bigram_counts(texts: DataFrame, top: list[tuple[int, int, int]]) -> np.ndarr
             pairs = (c.before(symbol, size - 1) * size + symbol)[c.train]
             total += np.bincount(pairs, minlength=size * size).reshape(size, size)
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([_pack(total[i]) for i in at], pa.binary())], ["symbol", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([pack(total[i]) for i in at], pa.binary())], ["symbol", "counts"])
 
     return _matrix(texts.mapInArrow(run, "symbol int, counts binary"), size)
 
@@ -341,7 +328,7 @@ def best_classes(word: np.ndarray, column: np.ndarray, n: np.ndarray, of: np.nda
 def _move(table: pa.Table, m: np.ndarray) -> pa.Table:
     """New classes (kind 0) and counts (kind 1) of the words each part sent to a bucket; words by class (kind 2)."""
     bucket, parts = table.column("bucket")[0].as_py(), table.column("part").to_pylist()
-    sent = [[_unpack(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("words", U64), ("classes", np.uint8), ("sizes", np.uint8), ("columns", np.uint8), ("counts", np.int32))]
+    sent = [[unpack(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("words", U64), ("classes", np.uint8), ("sizes", np.uint8), ("columns", np.uint8), ("counts", np.int32))]
     words, classes, sizes, columns, counts = map(np.concatenate, sent)
     unique, first, at = np.unique(words, return_index=True, return_inverse=True)
     width, of = 2 * K + 1, classes[first].astype(np.int64)
@@ -366,7 +353,7 @@ def _packed(c: Coded, found: pa.Table, kind: int, dtype, buckets: int) -> np.nda
     """What the buckets answered for each distinct word of a part."""
     got, out = answers(found, kind), np.zeros(len(c.unique), np.int64)
     for k, x in _by_bucket(c.unique, buckets):
-        out[x] = _unpack(got[k], dtype)
+        out[x] = unpack(got[k], dtype)
     return out
 
 
@@ -415,7 +402,7 @@ def learn(texts: DataFrame, words: DataFrame, buckets: int) -> tuple[Model, Data
             break
         best = m, answered
     m, answered = best
-    types = sum((_unpack(r["body"], np.int64) for r in answered.where("kind = 2").select("body").collect()), np.zeros(K, np.int64))
+    types = sum((unpack(r["body"], np.int64) for r in answered.where("kind = 2").select("body").collect()), np.zeros(K, np.int64))
     return Model(m, types), answered.where("kind != 2")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.session import checkpointed
+from quarry.session import checkpointed, freed
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -43,7 +43,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not edges.isEmpty():
         before = None
         for _ in range(max_rounds):
-            edges = checkpointed(_star(_star(edges, large=True), large=False))
+            last, edges = edges, checkpointed(_star(_star(edges, large=True), large=False))
+            if before is not None:
+                freed(last)
             now = _state(edges)
             if now == before:
                 break

@@ -72,6 +72,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rolled(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` word hashes, built from runs of 1, 2, 4, ... words."""
+    step, done, out, left = hashes + U64(seed), 0, None, width
+    size = 1
+    while left:
+        if left & 1:
+            piece = step[done:]
+            out = piece if out is None else mix(out[: len(piece)] * U64(0x9E3779B97F4A7C15) + piece[: len(out)] + U64(size))
+            done += size
+        left >>= 1
+        if left:
+            step = mix(step[:-size] * U64(0xC2B2AE3D27D4EB4F) + step[size:]) if len(step) > size else step[:0]
+            size *= 2
+    return out[: max(0, len(hashes) - width + 1)]
+
+
+def pack(x: np.ndarray | None) -> bytes | None:
+    """An array as bytes: its size, then its bytes by place, compressed."""
+    if x is None:
+        return None
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1 if len(x) else 1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(x: bytes, kind) -> np.ndarray:
+    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     """Where a new key begins in arrays sorted together."""
     n = len(sorted_keys[0])

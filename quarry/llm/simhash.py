@@ -23,24 +23,14 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from xxhash import xxh3_64_intdigest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
 from quarry.llm.components import connected_components
-from quarry.llm.parts import NO_ID, group_starts, grouped, mix, paired, part_count
+from quarry.llm.parts import group_starts, grouped, part_count
 from quarry.session import checkpointed
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 CHUNK = 4096
-#: For similar texts: words of a shingle, similarity, bytes of the fingerprint, candidates' radius; for sets under SMALL_SET
-#: shingles a larger one.
-#: Sets of Jaccard similarity 0.8 differ in 77 of 512 bits on average, in 96 (deviation 9) for 4 shingles of 5.
-SIMILAR_SHINGLE, SIMILARITY, WIDE_BYTES, WIDE_RADIUS, SMALL_RADIUS, SMALL_SET = 5, 0.8, 64, 110, 130, 24
-#: Shingles of the sketch that deals a text into shards; a shingle in more sketches than COMMON is common.
-SKETCH, COMMON, COMMON_USED = 16, 128, 6
-#: A text further than this from its leader leads too; sizes of similar sets fall in one class or the next.
-LEADER_RADIUS, SIZE_CLASS = 70, 1.26
-#: Candidates of a text in the first round; eight times as many in each further one.
-BUDGET = 1024
 
 
 def shingle_hashes(text: bytes, shingle: int):
@@ -57,7 +47,7 @@ def shingle_hashes(text: bytes, shingle: int):
         yield np.fromiter(map(xxh64_intdigest, [joined[a:b] for a, b in spans], repeat(SEED)), np.uint64)
 
 
-def _bit_counts(bits: np.ndarray) -> np.ndarray:
+def bit_counts(bits: np.ndarray) -> np.ndarray:
     """Column sums of rows of 0 and 1: first in bytes over 255 rows at a time."""
     whole = len(bits) // 255 * 255
     out = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
@@ -69,26 +59,11 @@ def _bit_counts(bits: np.ndarray) -> np.ndarray:
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     counts, total = np.zeros(64, np.int64), 0
     for hashes in shingle_hashes(text, shingle):
-        counts += _bit_counts(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        counts += bit_counts(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         total += len(hashes)
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """512 bits of a set of shingles: eight fingerprints of hashes mixed from the first."""
-    counts = np.zeros(8 * WIDE_BYTES, np.int64)
-    for lo in range(0, len(hashes), 8192):
-        h = hashes[lo : lo + 8192]
-        mixed = np.stack([mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(WIDE_BYTES // 8)], axis=1)
-        counts += _bit_counts(np.unpackbits(mixed.view(np.uint8), axis=1))
-    return np.packbits(2 * counts > len(hashes)).tobytes()
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, print): the fingerprint as a signed long."""
 
@@ -200,190 +175,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-
-
-def _alike(edges: pa.Table, texts: pa.Table, shingle: int, similarity: float) -> pa.Table:
-    """The edges of one bin whose texts have the similarity, by their sets of shingles."""
-    sets = {n: shingle_set(t, shingle) for n, t in zip(texts.column("node").to_pylist(), texts.column("body").to_pylist())}
-    keep = []
-    for a, b in zip(edges.column("src").to_pylist(), edges.column("dst").to_pylist()):
-        x, y = sets[a], sets[b]
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-    return edges.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(edges: DataFrame, prints: DataFrame, bodies: DataFrame, shingle: int, similarity: float, bins: int) -> DataFrame:
-    """The edges between similar texts.  A bin gets a node's text once, so a hub costs one row a bin at most."""
-    edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src != dst").distinct()
-    edges = checkpointed(edges.withColumn("bin", F.pmod(F.xxhash64("src", "dst"), F.lit(bins)).cast("int")))
-    needs = edges.select("bin", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    # One text stands for a node: found by id and hash, since rows may share an id.
-    stands = prints.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("one"))
-    stands = stands.join(needs.select("node").distinct(), "node").select("node", "one.*")
-    texts = bodies.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("body").alias("text_hash"), "body")
-    texts = texts.join(stands, ["id", "text_hash"]).select("node", "body").dropDuplicates(["node"])
-    sent = needs.join(texts, "node").select(F.col("bin").alias("at"), "node", "body")
-    return edges.groupBy("bin").cogroup(sent.groupBy("at")).applyInArrow(paired(_alike, shingle=shingle, similarity=similarity), "src long, dst long")
-
-
-def _lead(table: pa.Table) -> pa.Table:
-    """Every fingerprint of a (shard, chunk) with its nearest leader; those without a near one lead."""
-    pairs = []
-    for names, values in _by_shard(table, ["shard", "mine"]):
-        tree, leaders = BKTree(), []
-        for name, value in zip(names, values):
-            near = min(((tree.values[j] ^ value).bit_count(), j) for j in found) if (found := tree.within(value, SMALL_RADIUS)) else None
-            if near:
-                pairs.append((leaders[near[1]], name))
-            if not near or near[0] > LEADER_RADIUS:
-                tree.add(value)
-                leaders.append(name)
-    return _edge_table([(a % 2**64, b % 2**64) for a, b in pairs])
-
-
-def _by_shard(table: pa.Table, keys: list[str]):
-    """(names, fingerprints) of each shard in one bin."""
-    columns = [table.column(c).to_numpy() for c in [*keys, "node"]]
-    order = np.lexsort(columns[::-1])
-    columns, prints = [c[order] for c in columns], table.column("print").take(pa.array(order)).to_pylist()
-    at = group_starts(*columns[:-1])
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
-        if b - a > 1:
-            yield columns[-1][a:b].tolist(), [int.from_bytes(x, "big") for x in prints[a:b]]
-
-
-def _across(table: pa.Table, budget: int, similarity: float) -> pa.Table:
-    """The nearest `budget` candidates in other components of every outsider; `more` if it has further ones."""
-    shard, i, j, asks, node, component, size = (table.column(c).to_numpy() for c in ("shard", "i", "j", "asks", "node", "component", "size"))
-    order = np.lexsort((node, asks, j, i, shard))
-    shard, i, j, asks, node, component, size = (x[order] for x in (shard, i, j, asks, node, component, size))
-    prints = table.column("print").take(pa.array(order)).to_pylist()
-    out = []
-    at = group_starts(shard, i, j)
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
-        cut = b - int(asks[a:b].sum())
-        if a < cut < b:
-            tree = BKTree()
-            for x in prints[a:cut]:
-                tree.add(int.from_bytes(x, "big"))
-            for q in range(cut, b):
-                value = int.from_bytes(prints[q], "big")
-                near = tree.within(value, SMALL_RADIUS if size[q] < SMALL_SET else WIDE_RADIUS)
-                # Sets of too different sizes cannot be similar.
-                found = [a + t for t in near if component[a + t] != component[q] and similarity * max(size[a + t], size[q]) <= min(size[a + t], size[q]) + 1e-9]
-                more = len(found) > budget
-                if more:
-                    found = sorted(found, key=lambda t: ((tree.values[t - a] ^ value).bit_count(), t))[:budget]
-                out += [(node[q], node[t], more) for t in found]
-    src, dst, more = zip(*out) if out else ((), (), ())
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "more": pa.array(more, pa.bool_())})
-
-
-def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, node, size, print, keys): a node is a set of shingles, its keys are its SKETCH least hashes."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_set(text, shingle)
-                out.append((xxh3_64_intdigest(hashes.tobytes()), len(hashes), wide_fingerprint(hashes), hashes[:SKETCH].view(np.int64)))
-            names, sizes, prints, keys = zip(*out) if out else ((), (), (), ())
-            columns = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_hash", "node", "size", "print", "keys"])
-
-    return docs.withColumn("text_hash", F.xxhash64("body")).mapInArrow(run, "doc_id long, text_hash long, node long, size long, print binary, keys array<long>")
-
-
-def _shards(nodes: DataFrame) -> DataFrame:
-    """(shard, node, size, print): the texts that share a shingle of their sketches.
-
-    A text whose sketch is mostly of its own or rare shingles leaves the common ones out, so a line
-    that many texts share makes no large shard; the others also use their least common shingles,
-    with the class of the size of their set.
-    """
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    counts = keys.groupBy("key").count().where("count > 1")
-    of = keys.join(counts, "key").groupBy("node").agg(F.collect_list(F.struct("key", "count")).alias("of"))
-    pick = lambda test: F.transform(F.filter("of", test), lambda x: x["key"])
-    of = of.select("node", pick(lambda x: x["count"] <= COMMON).alias("rare"), F.array_sort(pick(lambda x: x["count"] > COMMON)).alias("common"))
-    size = F.floor(F.log("size") / F.log(F.lit(SIZE_CLASS)))
-    used = F.when(3 * F.size("common") >= F.least(F.lit(SKETCH), "size"), F.slice("common", 1, COMMON_USED)).otherwise(F.array().cast("array<long>"))
-    sized = F.flatten(F.transform(used, lambda k: F.array(F.xxhash64(k, size), F.xxhash64(k, size + 1))))
-    dealt = nodes.select("node", "size", "print").join(of, "node")
-    return checkpointed(dealt.select("node", "size", "print", F.explode(F.concat("rare", sized)).alias("shard")))
-
-
-def _led(named: DataFrame, chunk: int, bins: int) -> tuple[DataFrame, bool]:
-    """Edges to leaders between one text of each (shard, component), and whether a shard has several chunks."""
-    reps = named.groupBy("shard", "component").agg(F.min(F.struct("node", "print")).alias("one")).select("shard", "one.*")
-    sizes = reps.groupBy("shard").count().where("count > 1").select("shard", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    dealt = checkpointed(reps.join(sizes, "shard").withColumn("mine", F.pmod(F.xxhash64("node"), "chunks").cast("int")))
-    edges = dealt.withColumn("bin", F.pmod(F.xxhash64("shard", "mine"), F.lit(bins)).cast("int")).select("bin", "shard", "mine", "node", "print")
-    crowded = not dealt.where("chunks > 1").isEmpty()
-    return edges.groupBy("bin").applyInArrow(grouped(_lead), "src long, dst long"), crowded
-
-
-def _candidates(named: DataFrame, budget: int, similarity: float, chunk: int, bins: int) -> DataFrame:
-    """(src, dst, more) between components: outsiders of a shard's largest component against all of it, by chunks."""
-    parts = named.groupBy("shard", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = parts.groupBy("shard").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    sizes = sizes.where("largest < n").select("shard", "main", F.ceil(F.col("n") / chunk).cast("int").alias("trees"), F.ceil((F.col("n") - F.col("largest")) / chunk).cast("int").alias("askers"))
-    sized = named.join(sizes, "shard").withColumn("mix", F.xxhash64("node"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    tree = sized.select("shard", F.pmod("mix", "trees").cast("int").alias("i"), every("askers").alias("j"), F.lit(0).alias("asks"), "node", "size", "component", "print")
-    ask = sized.where("component != main").select("shard", every("trees").alias("i"), F.pmod("mix", "askers").cast("int").alias("j"), F.lit(1).alias("asks"), "node", "size", "component", "print")
-    dealt = tree.unionByName(ask).withColumn("bin", F.pmod(F.xxhash64("shard", "i", "j"), F.lit(bins)).cast("int"))
-    return dealt.groupBy("bin").applyInArrow(grouped(_across, budget=budget, similarity=similarity), "src long, dst long, more boolean")
-
-
-def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of `similarity` or more on their sets of shingles.
-
-    64 bits cannot tell such pairs from others, so fingerprints have 512.  Texts that share one of
-    the 16 least shingle hashes of each meet in a shard (a pair of similarity 0.8 does not with a
-    probability of 0.2**16, or 3e-5 where common shingles are left out), and BK-trees find the
-    candidates.  First every text of a shard goes with its nearest leader, and each such edge is checked
-    exactly on the sets; so a large group of near copies costs one edge a text.  Then the texts outside
-    the largest component of their shard look for candidates in other components, nearest first and
-    with a budget that grows until none is left, each checked exactly.
-    """
-    bodies = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    prints = checkpointed(_sketched(bodies, shingle))
-    shards, bins = _shards(prints.dropDuplicates(["node"])), part_count(docs)
-    check = lambda edges: checkpointed(_verified(edges.select("src", "dst"), prints, bodies, shingle, similarity, bins))
-    groups, edges = None, None
-
-    def named() -> DataFrame:
-        if groups is None:
-            return shards.withColumn("component", F.col("node"))
-        return shards.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    crowded = True
-    while crowded:
-        found, crowded = _led(named(), chunk, bins)
-        found = check(found)
-        crowded = crowded and not found.isEmpty()
-        edges = found if edges is None else edges.unionByName(found)
-        groups = checkpointed(connected_components(edges))
-    budget, more = BUDGET, True
-    while more:
-        asked = checkpointed(_candidates(named(), budget, similarity, chunk, bins))
-        more = not asked.where("more").isEmpty()
-        if asked.isEmpty():
-            break
-        found = check(asked)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            groups = checkpointed(connected_components(edges))
-        budget *= 8
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "node").join(nodes.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one_of_each_group(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents whose id is the smallest of their group of similar texts (documents without an id stay)."""
-    gone = similar_groups(docs, shingle, similarity).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

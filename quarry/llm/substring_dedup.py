@@ -25,28 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.parts import FLAGS, NO_ID, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, mix, paired, part_count
+from quarry.llm.parts import FLAGS, NO_ID, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, paired, part_count, rolled
 
 WIDTH = 13
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
 
 
-def rolled(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of each run of `width` word hashes, built from runs of 1, 2, 4, ... words."""
-    step, done, out, left = hashes + U64(seed), 0, None, width
-    size = 1
-    while left:
-        if left & 1:
-            piece = step[done:]
-            out = piece if out is None else mix(out[: len(piece)] * U64(0x9E3779B97F4A7C15) + piece[: len(out)] + U64(size))
-            done += size
-        left >>= 1
-        if left:
-            step = mix(step[:-size] * U64(0xC2B2AE3D27D4EB4F) + step[size:]) if len(step) > size else step[:0]
-            size *= 2
-    return out[: max(0, len(hashes) - width + 1)]
-
-
 class Windows:
     """All windows of a part: hash a (64 bits), hash b (32 bits), document, document row and start."""
 

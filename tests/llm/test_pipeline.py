@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline
-from quarry.llm import simhash
+from quarry.llm import similar
 from quarry.llm.packing import packed
-from quarry.llm.simhash import similar_groups
+from quarry.llm.similar import similar_groups
 from tests.llm import test_quality, test_suffix_array
 
 
@@ -47,8 +47,7 @@ def test_stages_match_brute_force(spark, sf):
 
 def test_common_shingles_chunks_and_budgets(spark, monkeypatch):
     """Near copies in large groups, a passage that many texts share, equal and empty texts; small chunks and budgets."""
-    monkeypatch.setattr(simhash, "COMMON", 5)
-    monkeypatch.setattr(simhash, "BUDGET", 1)
+    monkeypatch.setattr(similar, "SMALL", 5)
     rnd = random.Random(8)
     words = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
     base, line, texts = words(120), words(12), []
@@ -67,5 +66,5 @@ def test_common_shingles_chunks_and_budgets(spark, monkeypatch):
             if x == sets[j] or x and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
                 root = [root[j] if r == root[i] else r for r in root]
     least = {r: min(i for i, q in enumerate(root) if q == r) for r in root}
-    found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, chunk=7).collect()}
+    found = {r.doc_id: r.component_id for r in similar.similar_groups(docs, chunk=7).collect()}
     assert found == {**{i: least[r] for i, r in enumerate(root)}, None: 1}

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from quarry.llm.components import connected_components
-from quarry.llm.simhash import BKTree, keep_one_of_each_group, links, near_duplicates
+from quarry.llm.simhash import BKTree, links, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -80,8 +80,6 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_empty_and_stage(spark):
+def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert near_duplicates(empty).count() == 0
-    docs = spark.createDataFrame([(1, "a b c d e f g", "en"), (2, "a b c d e f g", "en"), (3, "q r s t u v w x", "en"), (None, "a b c d e f g", "en")], empty.schema)
-    assert sorted((r.doc_id or 0) for r in keep_one_of_each_group(docs).collect()) == [0, 1, 3]

@@ -37,14 +37,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Loops and repeated edges are allowed; no edges give no rows.
     """
-    whole = checkpointed(edges.select("src", "dst").distinct())
+    whole = checkpointed(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     loops = whole.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
     edges = whole.where(F.col("src") != F.col("dst"))
-    if not edges.isEmpty():
-        before = None
-        for _ in range(max_rounds):
+    before = _state(edges)
+    if before[0]:
+        for k in range(max_rounds):
             last, edges = edges, checkpointed(_star(_star(edges, large=True), large=False))
-            if before is not None:
+            if k:
                 freed(last)
             now = _state(edges)
             if now == before:

@@ -2,8 +2,8 @@
 
 Operators that must compare every piece of text with every other use two units of work:
 
-* a *part* is a hash-dealt slice of the documents (hash of id and text, so no source or group of
-  copies gathers in one part);
+* a *part* is a hash-dealt slice of the documents (hash of id, text and input split, so no source,
+  group of copies or repeated row gathers in one part);
 * a *bucket* is a slice of the key space (window hashes, anchors, words).
 
 A part sends each bucket one row holding a packed numpy array of its distinct keys, and gets one
@@ -33,7 +33,7 @@ def deal(docs: DataFrame, parts: int, keep: list[str] | None = None) -> DataFram
     """(part, doc_id, body[, rest]) with whole texts as UTF-8 bytes; a null text is empty, a null id is NO_ID."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     columns = [
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)).cast("int").alias("part"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         text.alias("body"),
     ]

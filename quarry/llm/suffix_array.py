@@ -19,7 +19,8 @@ The suffix order is only needed where repeats can be, and only to a depth of 50
 
 Defined cases: a null text is empty; a null id counts as later than all ids and comes back as null;
 rows with equal ids never remove each other's bytes; texts under 50 bytes are kept; an empty table
-gives an empty result; other columns are ignored, or carried in `rest` if named.
+gives an empty result; very long texts are cut into chunks of work, never shortened; other columns are ignored, or
+carried in `rest` if named.
 """
 
 from __future__ import annotations
@@ -312,6 +313,17 @@ def _answer(body: bytes) -> tuple[np.ndarray, ...]:
     return names, ends[last] - ends[last - n], np.repeat(docs, length)
 
 
+def whole_characters(text: bytes, a: int, b: int) -> bytes:
+    """text[a:b] without the bytes of a character that an edge of the span cuts."""
+    while a < b and text[a] & 0xC0 == 0x80:
+        a += 1
+    if b < len(text) and text[b] & 0xC0 == 0x80:
+        while a < b and text[b - 1] & 0xC0 == 0x80:
+            b -= 1
+        b = max(a, b - 1)
+    return text[a:b]
+
+
 def _apply(table: pa.Table, flags: pa.Table, buckets: int, length: int, with_text: bool) -> pa.Table:
     texts, doc_ids = bodies(table), ids(table)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -345,19 +357,18 @@ def _apply(table: pa.Table, flags: pa.Table, buckets: int, length: int, with_tex
             cuts.setdefault(k, []).append((x, y))
     digests, kept_texts = [], []
     for k, t in enumerate(texts):
-        if k in cuts:
-            edges = [0, *(e for c in cuts[k] for e in c), len(t)]
-            t = b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2]))
-        digests.append(hashlib.sha256(t).hexdigest())
-        kept_texts.append(t if with_text else None)
-    out = {"doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), "n_bytes": pa.array(sizes), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept_texts, pa.binary())}
+        edges = [0, *(e for c in cuts.get(k, ()) for e in c), len(t)]
+        spans_left = list(zip(edges[::2], edges[1::2]))
+        digests.append(hashlib.sha256(b"".join(t[x:y] for x, y in spans_left) if k in cuts else t).hexdigest())
+        kept_texts.append(b"".join(whole_characters(t, x, y) for x, y in spans_left).decode("utf-8", "replace") if with_text else None)
+    out = {"doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), "n_bytes": pa.array(sizes), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept_texts, pa.string())}
     if "rest" in table.column_names:
         out["rest"] = table.column("rest")
     return pa.table(out)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; on request `kept` (remaining bytes) and `rest` (columns named in keep)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; on request `kept` (the remaining whole characters) and `rest` (columns named in keep)."""
     parts = part_count(docs)
     texts = deal(docs, parts, keep)
     sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, length=length), "bucket int, part int, prints binary, twice binary")
@@ -365,7 +376,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool
     pieces = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(paired(_pieces, buckets=parts, length=length), "bucket int, part int, pieces array<binary>, sizes array<binary>, least array<binary>")
     classes = pieces.groupBy("bucket").applyInArrow(grouped(_classes, length=length), FLAGS).repartition(parts, "part")
     both = flags.unionByName(classes)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     if keep:
         schema += ", rest " + texts.schema["rest"].dataType.simpleString()
     out = texts.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(paired(_apply, buckets=parts, length=length, with_text=with_text), schema)
@@ -377,12 +388,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated bytes taken out of their texts (bytes of a cut character go too); n_chars follows."""
+    """The documents with repeated bytes taken out of their texts; n_chars, if there, follows.
+
+    The other bytes of a character that was cut go too.  Null texts stay null; empty texts, null ids, repeated
+    rows, very long texts and empty tables as above; other columns, whatever their names, are carried along.
+    """
     others = [c for c in docs.columns if c != "text"]
-    out = remove_repeated_bytes(docs, with_text=True, keep=others)
-    text = F.when(F.col("n_bytes") > 0, F.try_validate_utf8(F.col("kept").cast("string")))
-    text = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
-    columns = {c: F.col(f"rest.`{c}`") for c in others} | {"text": F.when(F.col("n_removed") > 0, F.regexp_replace(text, "�", "")).otherwise(text)}
+    out = remove_repeated_bytes(docs.where(F.col("text").isNotNull()), with_text=True, keep=others)
+    columns = {c: F.col(f"rest.`{c}`") for c in others} | {"text": F.col("kept")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col("text").isNull()))

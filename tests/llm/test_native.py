@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -71,6 +73,13 @@ def test_boundaries_are_optimal():
         found = boundaries(lengths, counts, k)
         assert cost(found) == best and len(found) <= k and found[-1] == 80
     assert boundaries([], [], 3) == []
+    rnd = random.Random(4)
+    for _ in range(20):
+        some = [rnd.randrange(1, 90) for _ in range(200)]
+        found = sorted(Counter(some).items())
+        for k in (1, 2, 5, 16):
+            cuts = boundaries([x for x, _ in found], [n for _, n in found], k)
+            assert len(cuts) <= k and sum(min(b for b in cuts if b >= x) - x for x in some) == least_padding(some, k)
 
 
 def test_packing(spark, sf):
@@ -87,5 +96,24 @@ def test_packing(spark, sf):
         assert 0 <= r.padding and r.n_tokens + r.padding == r.bucket_length
         batches.setdefault(r.batch_id, []).append(r.bucket_length)
     assert all(len(set(b)) == 1 and sum(b) <= 65536 for b in batches.values())
-    small = packed(docs, shard=2, budget=4096).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    joined = {}
+    for r in sorted(whole, key=lambda r: (r.doc_id, r.sequence)):
+        joined[r.doc_id] = joined.get(r.doc_id, "") + r.text
+    assert joined == texts and sum(r.padding for r in whole) == least_padding([r.n_tokens for r in whole], 16)
+    slots = {}
+    for r in whole:
+        slots.setdefault(r.batch_id, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    small = packed(docs, shard=2, budget=4096, align=8).collect()
     assert len({r.batch_id for r in small if r.bucket_length == 8}) >= 2
+
+
+def least_padding(lengths, buckets):
+    """The least padding over all choices of boundaries, a table of all (first, last) lengths."""
+    found = sorted(Counter(max(1, x) for x in lengths).items())
+    pad = {(i, j): sum(n * (found[j][0] - x) for x, n in found[i : j + 1]) for j in range(len(found)) for i in range(j + 1)}
+    best = [pad[0, j] for j in range(len(found))]
+    for _ in range(buckets - 1):
+        best = [min([best[j], *(best[i] + pad[i + 1, j] for i in range(j))]) for j in range(len(found))]
+    return best[-1] + sum(x < 1 for x in lengths)

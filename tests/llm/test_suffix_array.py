@@ -71,3 +71,21 @@ def test_drop_repeats_keeps_columns(spark, sf):
     assert out.count() == docs.count()
     row = spark.createDataFrame([(1, "é" * 30, "a", "b", 30), (2, "x" + "é" * 30 + "y", "a", "b", 32)], docs.schema)
     assert {r.doc_id: r.text for r in drop_repeats(row).collect()} == {1: "é" * 30, 2: "xy"}
+
+
+def test_drop_repeats_odd_rows(spark):
+    """Genuine replacement characters, cut characters, nulls, repeated rows, clashing names, an empty table."""
+    shared = "0123456789" * 6
+    rows = [(1, "bad \ufffd mark " + shared, "a"), (2, "x\ufffd" + shared + "\ufffdy", "b"), (3, None, "c"), (4, "", "d"), (None, shared, "e"), (None, shared, "e"), (5, "ä" + "é" * 40, "f"), (6, "ö" + "é" * 40, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").selectExpr("*", "kept as rest", "kept as n_removed", "kept as part")
+    out = drop_repeats(docs)
+    assert out.columns == docs.columns
+    found = sorted(((r.doc_id, r.text, r.kept) for r in out.collect()), key=str)
+    assert found == sorted([(1, rows[0][1], "a"), (2, "x\ufffd\ufffdy", "b"), (3, None, "c"), (4, "", "d"), (None, "", "e"), (None, "", "e"), (5, rows[6][1], "f"), (6, "ö", "g")], key=str)
+    assert drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(300_000))
+    assert got(spark, [(1, long, ""), (2, "z" + long[1000:200_000], ""), (3, "q" * 100_000, "")]) == brute([(1, long), (2, "z" + long[1000:200_000]), (3, "q" * 100_000)])

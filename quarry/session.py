@@ -57,3 +57,9 @@ def freed(frame: DataFrame) -> None:
     spark, path = frame.sparkSession, frame._quarry_path
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    tidied(spark)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more (it does so when the driver collects garbage)."""
+    spark._jvm.System.gc()

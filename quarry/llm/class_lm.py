@@ -2,7 +2,7 @@
 
 Learned from the training documents, those whose crc32 of the id as text modulo 5 is not 1:
 
-1. Texts are dealt into parts and kept there as positions in the part's distinct words (64-bit
+1. Texts are cut into parts and kept there as positions in the part's distinct words (64-bit
    hashes).  Exact counts of all words: parts send their distinct words with counts to buckets, which
    add them up to the vocabulary.  It stays distributed.
 2. The SEED most frequent words are clustered by the exchange algorithm on the driver, on a dense
@@ -18,11 +18,11 @@ Learned from the training documents, those whose crc32 of the id as text modulo
    smoothing; the class of a text's end stands before its first word.
 
 Classes and counts of a part's distinct words come back from their buckets, so no task holds the
-vocabulary.  base_score is the smoothed unigram score.
+vocabulary.  base_score is the smoothed unigram score; perplexity is 10 to the power of -score / n_tokens.
 
 Defined cases: a null or empty text has one token, its end; a null id counts as the empty text in
 crc32 (so it is in training) and comes back as null; repeated rows count every time; without
-training documents all counts are zero; an empty table gives an empty result; other columns are
+training documents all counts are zero; very long texts are parts of their own; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -33,12 +33,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.parts import FLAGS, NO_ID, U64, answers, bodies, chunks, deal, group_starts, grouped, ids, pack, paired, part_count, unpack
-from quarry.session import checkpointed
+from quarry.llm.parts import FLAGS, NO_ID, U64, answers, chunks, group_starts, grouped, pack, paired, part_count, unpack
+from quarry.session import checkpointed, freed, tidied
 
+#: Bytes of text coded together.
+PART = 12 << 20
 #: Words that are clustered first, classes, sweeps over these words and over all words at most.
 SEED, CLASSES, SWEEPS, ROUNDS = 512, 32, 20, 2
 #: Shapes: three lengths by digit or not by ASCII or not; the last one is the end of a text.
@@ -47,6 +50,8 @@ SHAPES = 13
 K = CLASSES + SHAPES
 OUT, INTO, OWN = 0, K, 2 * K
 END = b"\n"
+#: What a bucket answers the parts.
+ANSWERS = FLAGS.replace("part int", "part long")
 FOLDS, HELD_OUT = 5, 1
 
 
@@ -97,15 +102,34 @@ def _by_bucket(keys: np.ndarray, buckets: int):
 def _table(rows: list[tuple], ints: list[str], blobs: list[str]) -> pa.Table:
     """Rows of integers and of arrays, which are packed."""
     cols = list(zip(*([*r[: len(ints)], *map(pack, r[len(ints) :])] for r in rows))) or [[]] * (len(ints) + len(blobs))
-    return pa.table({n: pa.array(c, pa.int32() if n in ints else pa.binary()) for n, c in zip([*ints, *blobs], cols)})
+    return pa.table({n: pa.array(c, pa.int64() if n == "part" else pa.int32() if n in ints else pa.binary()) for n, c in zip([*ints, *blobs], cols)})
 
 
-CODED = "part int, docs binary, sizes binary, words binary, shapes binary, positions binary"
+CODED = "part long, docs binary, sizes binary, words binary, shapes binary, positions binary"
 
 
-def _code(table: pa.Table) -> pa.Table:
-    t = Tokens(bodies(table))
-    row = (table.column("part")[0].as_py(), ids(table), t.n, t.unique, t.shape.astype(np.uint8), t.index().astype(np.int32))
+def coded_texts(docs: DataFrame) -> DataFrame:
+    """CODED: runs of about PART bytes of text out of each input split, numbered by split and run; no shuffle."""
+
+    def run(batches):
+        split, runs, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                held.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py()))
+                size += len(held[-1][1])
+                if size >= PART:
+                    yield from _code(split << 32 | runs, held).to_batches()
+                    runs, held, size = runs + 1, [], 0
+        if held:
+            yield from _code(split << 32 | runs, held).to_batches()
+
+    body = F.coalesce("text", F.lit("")).cast("binary").alias("body")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), body).mapInArrow(run, CODED)
+
+
+def _code(part: int, held: list[tuple[int, bytes]]) -> pa.Table:
+    t = Tokens([x for _, x in held])
+    row = (part, np.array([i for i, _ in held], np.int64), t.n, t.unique, t.shape.astype(np.uint8), t.index().astype(np.int32))
     return _table([row], ["part"], ["docs", "sizes", "words", "shapes", "positions"])
 
 
@@ -261,7 +285,7 @@ def bigram_counts(texts: DataFrame, top: list[tuple[int, int, int]]) -> np.ndarr
 
 
 #: A part's words with their classes and counts by column (bucket 0 and up), or a row of the class bigrams (symbol).
-SENT = "bucket int, part int, symbol int, words binary, classes binary, sizes binary, columns binary, counts binary"
+SENT = "bucket int, part long, symbol int, words binary, classes binary, sizes binary, columns binary, counts binary"
 
 
 def _send(c: Coded, of: np.ndarray, buckets: int, last: bool = False) -> pa.Table:
@@ -395,18 +419,23 @@ def learn(texts: DataFrame, words: DataFrame, buckets: int) -> tuple[Model, Data
 
     sent, best = texts.mapInArrow(run, SENT), None
     for k in range(ROUNDS):
-        answered = checkpointed(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(grouped(_move, m=m), FLAGS))
+        answered = checkpointed(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(grouped(_move, m=m), ANSWERS))
+        freed(sent) if k else tidied(texts.sparkSession)
         sent = checkpointed(texts.groupBy("part").cogroup(answered.where("kind = 0").groupBy("part")).applyInArrow(paired(_send_again, buckets=buckets, last=k == ROUNDS - 1), SENT))
         m = _matrix(sent.where("symbol IS NOT NULL").select("symbol", "counts"), K)
-        if best is not None and likelihood(m) <= likelihood(best[0]):
-            break
+        if best is not None:
+            if likelihood(m) <= likelihood(best[0]):
+                freed(answered)
+                break
+            freed(best[1])
         best = m, answered
+    freed(sent)
     m, answered = best
     types = sum((unpack(r["body"], np.int64) for r in answered.where("kind = 2").select("body").collect()), np.zeros(K, np.int64))
     return Model(m, types), answered.where("kind != 2")
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def _score(table: pa.Table, found: pa.Table, buckets: int, model: Model) -> pa.Table:
@@ -419,15 +448,16 @@ def _score(table: pa.Table, found: pa.Table, buckets: int, model: Model) -> pa.T
     symbol = of[c.at]
     scores = model.transition[c.before(symbol, K - 1), symbol] + emission[c.at]
     out = [np.add.reduceat(x, c.first) for x in ((counts[c.at] > 0).astype(np.int64), base[c.at], scores)]
-    return pa.table({"doc_id": pa.array(c.docs, pa.int64(), mask=c.docs == NO_ID), "held_out": pa.array(c.held, pa.bool_()), "n_tokens": pa.array(c.n), "n_known": pa.array(out[0], pa.int64()), "train_tokens": pa.array([n] * len(c.docs), pa.int64()), "base_score": pa.array(out[1], pa.float64()), "score": pa.array(out[2], pa.float64())})
+    return pa.table({"doc_id": pa.array(c.docs, pa.int64(), mask=c.docs == NO_ID), "held_out": pa.array(c.held, pa.bool_()), "n_tokens": pa.array(c.n), "n_known": pa.array(out[0], pa.int64()), "train_tokens": pa.array([n] * len(c.docs), pa.int64()), "base_score": pa.array(out[1], pa.float64()), "score": pa.array(out[2], pa.float64()), "perplexity": pa.array(10.0 ** (-out[2] / c.n), pa.float64())})
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """RESULT for every document."""
     parts = part_count(docs)
-    texts = checkpointed(deal(docs, parts).groupBy("part").applyInArrow(_code, CODED))
+    texts = checkpointed(coded_texts(docs))
     words = checkpointed(vocabulary(texts, parts))
     model, answered = learn(texts, words, parts)
+    freed(words)
     return texts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(paired(_score, buckets=parts, model=model), RESULT)
 
 

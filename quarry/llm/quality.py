@@ -2,19 +2,22 @@
 
 Two histograms are taken of every text: characters by class, and words by common word (`COMMON`,
 the last bin holds all other words).  The reference of a language is the sum over its documents
-that pass the base rules, so it is learned from the whole table.  A document of at least
-`min_words` words is rejected if the Jensen-Shannon distance (base 2, square root) of either
-histogram from the reference is over its limit; shorter ones are not judged by divergence.  The
-limit for words follows the reference: a document is rejected too if it is at least as far from it as
-a text without any common word (not if under MIN_COMMON of the reference's words are common).  A
-language with less than `min_share` of all words (so there are at most 1 / min_share references)
-and a null language are compared with the reference of all languages together.
+that pass the base rules, so it is learned from the whole table.  A document is rejected if the
+Jensen-Shannon distance (base 2, square root) of either histogram from the reference is over its
+limit.  Short histograms scatter, so limits widen with the square root of FULL / n_words below FULL
+words (the base rules leave no document under 50).  The limit for words follows the reference: a
+document is rejected too if it is at least as far from it as a text without any common word, once it
+is so long that a text of the language has none by chance with a probability below CHANCE.  A null
+language is compared with the reference of all languages together.  A language with less than
+`min_share` of all words has no reference (so there are at most 1 / min_share) and is judged by the base
+rules alone.
 
 Base rules (exact counts): n_words < 50 or 100 * n_repeat_words > 50 * n_words fails a document.
 
-Defined cases: a null or empty text has no words, fails the base rules and is not kept; repeated rows
-are judged one by one; an empty table gives an empty result; with no reference at all the
-divergence is zero; other columns are ignored.
+Defined cases: a null or empty text has no words, fails the base rules and is not kept; null ids,
+repeated rows and very long texts are judged one by one by the whole text; an empty table gives an empty
+result; with no reference at all the divergence is zero; other columns are ignored (`drop_low_quality`
+carries them along, whatever their names).
 """
 
 from __future__ import annotations
@@ -41,9 +44,7 @@ INDEX = {w.encode(): k for k, w in enumerate(WORDS)}
 #: Character classes by first byte: lower, upper, digit, space, symbols, other ASCII, not ASCII.
 CLASSES, SPACES, SYMBOLS = 7, b" \t\n\v\f\r", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_JUDGED, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_SHARE = 100, 0.28, 0.50, 0.001
-#: Share of common words from which a reference sets a limit of its own for words.
-MIN_COMMON = 0.05
+FULL, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_SHARE, CHANCE = 100, 0.28, 0.50, 0.0001, 1e-4
 STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>"
 
 
@@ -149,30 +150,30 @@ def distances(hist: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def both_distances(classes: np.ndarray, common: np.ndarray, langs: list, known: dict) -> list[np.ndarray]:
-    """Distances of the class and the word histograms from the references of the languages (from that of all, if it has none)."""
-    if not known or not len(langs):
-        return [np.zeros(len(langs)), np.zeros(len(langs))]
-    rows = [known.get(x, known[None]) for x in langs]
-    return [distances(h.astype(np.float64), np.array([r[i] for r in rows], np.float64)) for i, h in enumerate((classes, common))]
+    """Distances of the class and the word histograms from the references of the languages (zero without one)."""
+    none = ([0] * CLASSES, [0] * (len(WORDS) + 1))
+    rows = [known.get(x, none) for x in langs] or [none]
+    return [distances(h.astype(np.float64), np.array([r[i] for r in rows], np.float64)) if len(langs) else np.zeros(0) for i, h in enumerate((classes, common))]
 
 
-def word_limits(langs: list, known: dict, most: float) -> np.ndarray:
-    """The word distance over which a document of each language is rejected: that of a text without common words, `most` at most."""
-    none, limits = np.zeros((1, len(WORDS) + 1)), {}
+def word_rule(words: list[int], most: float) -> tuple[float, float]:
+    """(words from which a text is judged by it, the limit): the distance of a text without common words, `most` at most."""
+    reference, none = np.array([words], np.float64), np.zeros((1, len(words)))
     none[0, -1] = 1
-    for lang, (_, words) in known.items():
-        reference = np.array([words], np.float64)
-        judges = reference[0, :-1].sum() >= MIN_COMMON * max(1.0, reference.sum())
-        limits[lang] = min(most, distances(none, reference)[0] * (1 - 1e-9)) if judges else most
-    return np.array([limits.get(x, limits.get(None, most)) for x in langs], np.float64)
+    share = reference[0, :-1].sum() / max(1.0, reference.sum())
+    from_ = np.log(CHANCE) / np.log1p(-share) if 0 < share < 1 else 1.0 if share else np.inf
+    return float(from_), min(most, float(distances(none, reference)[0]) * (1 - 1e-9))
 
 
-def diverges(n_words: np.ndarray, classes: np.ndarray, common: np.ndarray, langs: list, known: dict) -> np.ndarray:
-    by_class, by_word = both_distances(classes, common, langs, known)
-    return (n_words >= MIN_JUDGED) & ((by_class > MAX_CLASS_DISTANCE) | (by_word > word_limits(langs, known, MAX_WORD_DISTANCE)))
+def limits(n_words: np.ndarray, langs: list, known: dict, max_class: float, max_word: float) -> list[np.ndarray]:
+    """The distances over which each document is rejected."""
+    wide = np.sqrt(np.maximum(1.0, FULL / np.maximum(n_words, 1)))
+    rules = {lang: word_rule(words, max_word) for lang, (_, words) in known.items()}
+    from_, limit = (np.array([rules.get(x, (np.inf, max_word))[k] for x in langs], np.float64) for k in range(2))
+    return [max_class * wide, np.where(n_words >= from_, limit, max_word * wide)]
 
 
-def quality(docs: DataFrame, min_judged: int = MIN_JUDGED, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_share: float = MIN_SHARE) -> DataFrame:
+def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, the exact counts, base_failed, both distances and kept."""
     stats = checkpointed(document_statistics(docs))
     known = references(stats, min_share)
@@ -181,14 +182,14 @@ def quality(docs: DataFrame, min_judged: int = MIN_JUDGED, max_class: float = MA
         for batch in batches:
             hists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in ("classes", "common")]
             langs = batch.column("lang").to_pylist()
-            out = [*both_distances(*hists, langs, known), word_limits(langs, known, max_word)]
+            out = [*both_distances(*hists, langs, known), *limits(batch.column("n_words").to_numpy(), langs, known, max_class, max_word)]
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *map(pa.array, out)], [*names, "class_distance", "word_distance", "word_limit"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *map(pa.array, out)], [*names, "class_distance", "word_distance", "class_limit", "word_limit"])
 
     counts = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    judged = stats.mapInArrow(run, f"{counts}, class_distance double, word_distance double, word_limit double")
-    differs = (F.col("n_words") >= min_judged) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > F.col("word_limit")))
-    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~differs).drop("word_limit")
+    judged = stats.mapInArrow(run, f"{counts}, class_distance double, word_distance double, class_limit double, word_limit double")
+    differs = (F.col("class_distance") > F.col("class_limit")) | (F.col("word_distance") > F.col("word_limit"))
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~differs).drop("class_limit", "word_limit")
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +208,9 @@ def drop_low_quality(docs: DataFrame) -> DataFrame:
             s = statistics(texts)
             langs = batch.column(lang).to_pylist() if lang is not None else [None] * len(texts)
             keep = (s["n_words"] >= MIN_WORDS) & (100 * s["n_repeat_words"] <= MAX_REPEAT_PERCENT * s["n_words"])
-            keep &= ~diverges(s["n_words"], s["classes"], s["common"], langs, known)
+            most = limits(s["n_words"], langs, known, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE)
+            for distance, limit in zip(both_distances(s["classes"], s["common"], langs, known), most):
+                keep &= distance <= limit
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from quarry.llm.quality import CLASSES, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_JUDGED, WORDS, drop_low_quality, quality
+from quarry.llm.quality import CLASSES, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORDS, drop_low_quality, quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -56,8 +56,14 @@ def brute(rows):
     out = []
     for i, text, lang in rows:
         b = base(text)
-        ref = sums.get(lang) or sums.get(None)
-        far = b[0] >= MIN_JUDGED and ref and any(distance(h, r) > m for h, r, m in zip(histograms(text or ""), ref, (MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE)))
+        ref, far = sums.get(lang), False
+        if ref and b[0]:
+            wide = max(1, 100 / b[0]) ** 0.5
+            share = sum(ref[1][:-1]) / max(1, sum(ref[1]))
+            enough = 0 < share < 1 and (1 - share) ** b[0] <= 1e-4 or share == 1
+            bare = distance([0] * len(WORDS) + [1], ref[1]) * (1 - 1e-9)
+            limits = (MAX_CLASS_DISTANCE * wide, min(MAX_WORD_DISTANCE, bare) if enough else MAX_WORD_DISTANCE * wide)
+            far = any(distance(h, r) > m for h, r, m in zip(histograms(text), ref, limits))
         out.append((i, *b, not b[-1] and not far))
     return sorted(out, key=str)
 
@@ -71,6 +77,8 @@ def test_whole_table(spark, sf):
     want = brute([tuple(r) for r in docs.collect()])
     assert got(docs) == want
     assert {r[-1] for r in want} == {True, False}
+    counts = Counter((r.class_distance > MAX_CLASS_DISTANCE, r.word_distance > 0.34) for r in quality(docs).where("n_words >= 100 and not base_failed").collect())
+    assert counts[True, False] + counts[True, True]
 
 
 def test_odd_rows(spark):

@@ -28,8 +28,8 @@ def support_count(minimum: float, transactions: int) -> int:
 
 
 def power_set(items: Column) -> Column:
-    """All subsets, the empty one first."""
-    start = F.array(F.array().cast("array<string>"))
+    """All subsets, the empty one first; items of any type."""
+    start = F.array(F.slice(items, 1, 0))
     return F.aggregate(items, start, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
 
 
@@ -44,11 +44,11 @@ def prepared(baskets: DataFrame, min_support: int) -> DataFrame:
 def frequent_itemsets(baskets: DataFrame, min_support: int, longest: int | None = None) -> DataFrame:
     """(items, support): sorted itemsets in at least min_support baskets.
 
-    Short baskets (`longest` items at most) are enumerated, which is one aggregate; without that
-    promise the distributed FP-growth is used.
+    Baskets of `longest` items at most are enumerated, which is one aggregate; if one keeps more frequent
+    items, or without that bound, the distributed FP-growth is used.
     """
-    if longest is not None:
-        subsets = prepared(baskets, min_support).select(F.explode(power_set(F.col("items"))).alias("items"), "n").where(F.size("items") > 0)
+    if longest is not None and (kept := prepared(baskets, min_support)).where(F.size("items") > longest).isEmpty():
+        subsets = kept.select(F.explode(power_set(F.col("items"))).alias("items"), "n").where(F.size("items") > 0)
         return subsets.groupBy("items").agg(F.sum("n").alias("support")).where(F.col("support") >= min_support)
     total = baskets.count()
     if total < min_support:

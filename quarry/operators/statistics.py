@@ -117,9 +117,15 @@ def one_vs_rest(frame: DataFrame, label: str, chosen) -> DataFrame:
     return frame.withColumn("target", (F.col(label) == F.lit(chosen)).cast("int"))
 
 
+def words(text: str):
+    """The words of a text column: runs of anything but ASCII white space, A-Z in lower case."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lower, F.lit("[^ \\t\\n\\x0B\\f\\r]+"), F.lit(0))
+
+
 def bag_of_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term, tf) of the terms of a vocabulary table (term)."""
-    terms = docs.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term"))
+    terms = docs.select("doc_id", F.explode(words("text")).alias("term"))
     return terms.join(vocabulary.select("term"), "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -159,5 +165,11 @@ def leave_one_out(frame: DataFrame, key: str) -> DataFrame:
     return frame.join(F.broadcast(frame.agg((F.count(F.lit(1)) - 1).alias("train_n")))).select(F.col(key).alias("test"), "train_n")
 
 
+def leave_one_out_fold(frame: DataFrame, key: str, left_out) -> tuple[DataFrame, DataFrame]:
+    """(train, test): the rows but those of one key, and that one; filters, so no fold is stored."""
+    test = F.col(key).eqNullSafe(F.lit(left_out))
+    return frame.where(~test), frame.where(test)
+
+
 def slice_rows(frame: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
     return frame.join(chosen.select(key), key, "left_semi")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
+import random
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -34,8 +38,9 @@ def numeric_splits(rows: DataFrame, features: list[str], classes: int, rule: str
 def nominal_splits(rows: DataFrame, features: list[str], classes: int, rule: str = "GINI", group: str | None = None, node_size: int = 1) -> DataFrame:
     """The same for one value against all others; threshold is the value's code."""
     g = F.col(group) if group else F.lit(0)
-    long = rows.select(g.alias("group"), F.col("label").alias("label"), F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "value"))
-    counts = [F.sum((F.col("label") == k).cast("long")).alias(f"c{k}") for k in range(classes)]
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1)
+    long = rows.select(g.alias("group"), F.col("label").alias("label"), weight.alias("weight"), F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "value"))
+    counts = [F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
     by_value = long.groupBy("group", "feature", "value").agg(*counts)
     whole = Window.partitionBy("group", "feature")
     totals = F.array(*[F.sum(f"c{k}").over(whole) for k in range(classes)])
@@ -84,12 +89,17 @@ class Tree:
     nominal: frozenset = frozenset()
 
     @staticmethod
-    def fit(rows: DataFrame, features: list[str], label: str = "label", max_nodes: int = 100, rule: str = "GINI", node_size: int = 1, nominal: tuple = ()) -> "Tree":
-        """Best-first growth to max_nodes leaves.  One job evaluates all new leaves: the leaf of a row is an expression."""
+    def fit(rows: DataFrame, features: list[str], label: str = "label", max_nodes: int = 100, rule: str = "GINI", node_size: int = 1, nominal: tuple = (), mtry: int | None = None, seed: int = 0) -> "Tree":
+        """Best-first growth to max_nodes leaves.  One job evaluates all new leaves: the leaf of a row is an expression.
+
+        With mtry every leaf may split by that many features only, drawn anew by (seed, leaf).
+        """
         if max_nodes < 2:
             raise ValueError(f"Invalid maximum leaves: {max_nodes}")
         if node_size < 1:
             raise ValueError(f"Invalid minimum size of leaf nodes: {node_size}")
+        if mtry is not None and not 0 < mtry <= len(features):
+            raise ValueError(f"Invalid number of variables to split on at a node of the tree: {mtry}")
         classes = len(check_labels(rows, label))
         rows = rows.withColumn("label", F.col(label))
         counted = dict(rows.groupBy("label").agg(F.sum("weight") if "weight" in rows.columns else F.count(F.lit(1))).collect())
@@ -107,6 +117,9 @@ class Tree:
                     more = nominal_splits(leaf, names, classes, rule, "_leaf", node_size).withColumn("feature", F.array(*[F.lit(features.index(f)) for f in names])[F.col("feature")])
                     found = more if found is None else found.unionByName(more)
                 nodes = {n.node_id: n for n in fresh}
+                if mtry is not None:
+                    drawn = {n: random.Random(f"{seed}/{n}").sample(range(len(features)), mtry) for n in nodes}
+                    found = found.where(reduce(or_, [(F.col("group") == n) & F.col("feature").isin(d) for n, d in drawn.items()]))
                 for s in best_splits(found).collect():  # one row a leaf
                     heapq.heappush(queue, (-s["gain"], s["group"], nodes[s["group"]], s))
                 fresh = []
@@ -158,17 +171,25 @@ def stratified_subsample(rows: DataFrame, key: str, fraction: float, label: str
     return rows.join(F.broadcast(quota), label).withColumn("_r", F.row_number().over(order)).where("_r <= _quota").drop("_r", "_quota")
 
 
-def bootstrap(rows: DataFrame, key: str, seed: int, rate: float = 1.0) -> DataFrame:
-    """A weight a row: Poisson(rate) by a hash of the key and the seed, which is what draws with replacement tend to."""
-    import math
+def bootstrap(rows: DataFrame, key: str, seed: int, rate: float | list[float] = 1.0, label: str = "label") -> DataFrame:
+    """A weight a row: Poisson by a hash of the key and the seed, which is what draws with replacement tend to.
 
+    Classes are drawn apart: `rate` is one number or one for each class, the draws a row (a class of
+    weight w that is to be drawn n / w times has the rate 1 / w).
+    """
     u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) + F.lit(0.5)) / float(1 << 40)
-    weight, p, total = F.lit(0), math.exp(-rate), math.exp(-rate)
-    for k in range(1, 12):
-        weight = weight + (u > total).cast("int")
-        p *= rate / k
-        total += p
-    return rows.withColumn("weight", weight)
+
+    def drawn(mean: float) -> Column:
+        weight, p, total = F.lit(0), math.exp(-mean), math.exp(-mean)
+        for k in range(1, 12 + int(4 * mean)):
+            weight = weight + (u > total).cast("int")
+            p *= mean / k
+            total += p
+        return weight
+
+    if not isinstance(rate, (list, tuple)):
+        return rows.withColumn("weight", drawn(rate))
+    return rows.withColumn("weight", F.coalesce(*[F.when(F.col(label) == k, drawn(r)) for k, r in enumerate(rate)], F.lit(0)))
 
 
 def votes(predictions: DataFrame, key: str) -> DataFrame:
@@ -190,16 +211,34 @@ class Forest:
     """Trees on bootstrap weights; `mllib` grows many level by level in one set of jobs."""
 
     trees: list[Tree]
+    #: How each tree's sample is drawn, for out-of-bag rows.
+    draw: tuple = ()
 
     @staticmethod
-    def fit(rows: DataFrame, features: list[str], key: str, label: str = "label", trees: int = 10, max_nodes: int = 100, node_size: int = 5, rule: str = "GINI", seed: int = 0, rate: float = 1.0) -> "Forest":
-        size = max(1, int(len(features) ** 0.5))
+    def fit(rows: DataFrame, features: list[str], key: str, label: str = "label", trees: int = 10, max_nodes: int = 100, node_size: int = 5, rule: str = "GINI", seed: int = 0, class_weight: list[float] | None = None, mtry: int | None = None, nominal: tuple = ()) -> "Forest":
+        """Every split looks at `mtry` features (the root of their number, rounded down); a class is drawn n / class_weight times a tree."""
+        if trees < 1:
+            raise ValueError(f"Invalid number of trees: {trees}")
+        rate = 1.0 if class_weight is None else [1 / w for w in class_weight]
+        mtry = mtry or max(1, int(len(features) ** 0.5))
         grown = []
         for t in range(trees):
-            mine = sorted(range(len(features)), key=lambda i: (hash((seed, t, i)), i))[: max(size, 2)]
-            sample = bootstrap(rows, key, seed * 1_000_003 + t, rate).where("weight > 0")
-            grown.append(Tree.fit(sample, [features[i] for i in mine], label, max_nodes, rule, node_size))
-        return Forest(grown)
+            sample = bootstrap(rows, key, seed * 1_000_003 + t, rate, label).where("weight > 0")
+            grown.append(Tree.fit(sample, features, label, max_nodes, rule, node_size, nominal, mtry, seed * 1_000_003 + t))
+        return Forest(grown, (key, seed, rate, label))
+
+    def out_of_bag(self, rows: DataFrame, classes: int) -> DataFrame:
+        """(oob, correct, accuracy) of the majority of those trees whose sample a row was not in."""
+        key, seed, rate, label = self.draw
+        said = []
+        for t, tree in enumerate(self.trees):
+            rows = bootstrap(rows, key, seed * 1_000_003 + t, rate, label).withColumn(f"_t{t}", F.when(F.col("weight") == 0, tree.predict())).drop("weight")
+            said.append(f"_t{t}")
+        count = lambda k: sum((F.coalesce(F.col(c) == k, F.lit(False)).cast("int") for c in said), F.lit(0))
+        best = -F.array_max(F.array(*[F.struct(count(k).alias("n"), F.lit(-k).alias("k")) for k in range(classes)]))["k"]
+        judged = rows.withColumn("_said", F.when(F.coalesce(*said).isNotNull(), best)).where("_said IS NOT NULL")
+        n, correct = F.count(F.lit(1)), F.coalesce(F.sum((F.col("_said") == F.col(label)).cast("long")), F.lit(0).cast("long"))
+        return judged.agg(n.alias("oob"), correct.alias("correct"), F.when(n == 0, 1.0).otherwise(correct / F.nullif(n, F.lit(0))).alias("accuracy"))
 
     def predict(self, classes: int) -> Column:
         """The majority of the trees as one expression: no shuffle."""

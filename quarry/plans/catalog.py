@@ -348,26 +348,22 @@ def bbd_prune_test(spark, d):
 
 # --- naive Bayes -------------------------------------------------------------------------------------
 
-WORDS = 40
-
-
 def labelled(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
 
 
 def _bag(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, their vocabulary terms, vocabulary): the vocabulary is the most frequent words."""
+    """(documents, their vocabulary terms, vocabulary): the vocabulary is all words of the labelled texts."""
     docs = labelled(spark, d)
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term != ''")
-    vocabulary = words.groupBy("term").count().orderBy(F.desc("count"), "term").limit(WORDS).select("term")
+    vocabulary = docs.select(F.explode(S.words("text")).alias("term")).distinct()
     terms = S.bag_of_words(docs, vocabulary).join(docs.select("doc_id", "label"), "doc_id")
     return docs.select("doc_id", "label"), terms, vocabulary
 
 
-_BAG = f"""WITH dl AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id)),
-w AS (SELECT doc_id, label, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM dl),
-vocab AS (SELECT term FROM w WHERE term <> '' GROUP BY term ORDER BY count(*) DESC, term LIMIT {WORDS}),
+_BAG = r"""WITH dl AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id)),
+w AS (SELECT doc_id, label, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+')) AS term FROM dl),
+vocab AS (SELECT DISTINCT term FROM w),
 t AS (SELECT doc_id, label, term, count(*) AS tf FROM w JOIN vocab USING (term) GROUP BY ALL),
 c AS (SELECT label, count(*) AS n FROM dl GROUP BY label),
 pri AS (SELECT label, ln((n + 1e-20) / ((SELECT sum(n) FROM c) + (SELECT count(*) FROM c) * 1e-20)) AS lp, n FROM c),
@@ -446,9 +442,7 @@ def nb_gaussian_predict(spark, d):
 @query("SELECT event_type AS label, user_id AS term, count(*) AS n FROM events GROUP BY ALL")
 def nb_stream_counts(spark, d):
     counts = lambda f: f.groupBy(F.col("event_type").alias("label"), F.col("user_id").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    import uuid
-
-    return streamed(counts, stream_table(spark, f"{d}/events.parquet"), f"counts_{uuid.uuid4().hex}")
+    return streamed(counts, stream_table(spark, f"{d}/events.parquet"))
 
 
 # --- trees ---------------------------------------------------------------------------------------------

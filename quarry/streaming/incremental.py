@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import shared_folder
+
 
 def stream_table(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
     """A growing folder of Parquet files, or a single file, as a stream."""
@@ -16,10 +19,21 @@ def stream_table(spark: SparkSession, path: str, files_a_batch: int = 1) -> Data
     return reader.parquet(path)
 
 
-def streamed(counts: Callable[[DataFrame], DataFrame], stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """All counts after everything that is there now; state is one row a group, kept in complete mode."""
-    writer = counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def streamed(counts: Callable[[DataFrame], DataFrame], stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All counts after everything that is there now; state is one row a group.
+
+    Every batch writes all counts as a table of its own under `folder` (one in the shared folder if none is
+    named), which also holds the stream's checkpoint; nothing gathers on the driver.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    whole = counts(stream)
+
+    def keep(frame: DataFrame, batch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    run = whole.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = run.lastProgress
+    done = [p["batchId"] for p in run.recentProgress if p["numInputRows"]] or ([last["batchId"]] if last else [])
+    return spark.read.schema(whole.schema).parquet(f"{folder}/batch={max(done)}") if done else spark.createDataFrame([], whole.schema)

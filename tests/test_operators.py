@@ -274,7 +274,7 @@ def test_streamed_counts_equal_batch(spark, tmp_path, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(4).write.parquet(str(tmp_path / "e"))
     counts = lambda f: f.groupBy("event_type").count()
-    out = streamed(counts, stream_table(spark, str(tmp_path / "e")), "by_type", str(tmp_path / "c"))
+    out = streamed(counts, stream_table(spark, str(tmp_path / "e")), str(tmp_path / "c"))
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in counts(events).collect()}
 
 
@@ -283,3 +283,69 @@ def test_entry_point(spark):
 
     found = entry.queries()
     assert entry.entry(spark).count() >= 0 and set(entry.oracle_sql()) <= set(found) and len(found) > 80
+
+
+def test_boxes():
+    """Pruned search and pruned clustering equal brute force, with ties and repeated rows."""
+    from quarry.operators.boxes import Boxes, cluster_sums, nearest
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 6, (400, 2)).astype(float), rng.normal(size=(300, 2)), np.ones((90, 2))])
+    ids, boxes = rng.permutation(len(x)), Boxes(x)
+    assert sorted(boxes.rows.tolist()) == list(range(len(x))) and len(boxes) > 20
+    for b in range(len(boxes)):
+        own = x[boxes.rows[slice(*boxes.span[b])]]
+        assert boxes.cost(b, np.array([1.0, 2.0])) == pytest.approx(np.square(own - [1.0, 2.0]).sum())
+    for q in [*x[::40], np.array([9.0, -3.0])]:
+        d = np.square(x - q).sum(axis=1)
+        rows, found = nearest(boxes, q, ids, 7)
+        assert rows.tolist() == np.lexsort((ids, np.round(d, 9)))[:7].tolist() and found == pytest.approx(d[rows])
+    centres = np.concatenate([rng.normal(2, 2, (6, 2)), [[1.0, 1.0], [1.0, 1.0]]])
+    n, sums, distance = cluster_sums(boxes, centres)
+    d = np.square(x[:, None] - centres).sum(axis=2)
+    own = d.argmin(axis=1)
+    assert n.tolist() == np.bincount(own, minlength=8).tolist() and distance == pytest.approx(d.min(axis=1).sum())
+    assert sums == pytest.approx(np.stack([x[own == k].sum(axis=0) for k in range(8)]))
+
+
+def test_whole_number_items(spark):
+    rows = [(i, b) for i, b in enumerate([[1, 3], [2], [4], [2, 3, 4], [2, 3], [2, 3], [1, 2, 3, 4], [1, 3], [1, 2, 3], [1, 2, 3]])]
+    frame = spark.createDataFrame(rows, "txn_id long, items array<int>")
+    for longest in (4, None, 2):
+        assert A.Miner(frame, 3, longest).learn() == 8
+        assert A.Miner(frame, 3, longest).rules(0.5).count() == 9
+
+
+def test_weighted_nominal_split(spark):
+    rows = spark.createDataFrame([(0, 0.0, 5), (1, 0.0, 1), (1, 1.0, 7), (0, 1.0, 0)], "label int, x double, weight int")
+    found = {r.threshold: (list(r.t), list(r.f)) for r in T.nominal_splits(rows, ["x"], 2).collect()}
+    assert found == {0.0: ([5, 1], [0, 7]), 1.0: ([0, 7], [5, 1])}
+
+
+def test_forest_samples(spark):
+    frame = flowers(spark)
+    names = [f"x{i}" for i in range(4)]
+    rows = frame.select("id", "label", *[F.col("features")[i].alias(n) for i, n in enumerate(names)]).cache()
+    drawn = T.bootstrap(rows, "id", 1, [1.0, 0.5, 2.0]).groupBy("label").agg(F.sum("weight").alias("n")).collect()
+    sizes = {r.label: r.n for r in drawn}
+    assert 15 < sizes[0] < 45 and 4 < sizes[1] < 28 and 40 < sizes[2] < 85
+    forest = T.Forest.fit(rows, names, "id", trees=4, max_nodes=4, mtry=2)
+    assert all(len(t.features) == 4 for t in forest.trees) and len({n.feature for t in forest.trees for n in t.nodes() if n.children}) > 1
+    judged = forest.out_of_bag(rows, 3).first()
+    assert judged.oob > 50 and judged.accuracy > 0.8
+    with pytest.raises(ValueError):
+        T.Tree.fit(rows, names, mtry=5)
+
+
+def test_missing_values_in_kmeans(spark):
+    nan = float("nan")
+    points = spark.createDataFrame([([0.0, 0.0],), ([nan, 1.0],), ([10.0, nan],), ([10.0, 12.0],)], "features array<double>")
+    centres, _ = N.lloyd(points, [[0.5, 0.25], [9.0, 9.0]], 5, True, "EUCLIDEAN_MISSING_VALUES")
+    assert centres == [[0.0, 0.5], [10.0, 12.0]]
+    with pytest.raises(ValueError):
+        N.lloyd(points, [[0.0, 0.0], [9.0, 9.0]], 5)
+
+
+def test_leave_one_out_fold(spark):
+    train, test = S.leave_one_out_fold(spark.createDataFrame([(1,), (2,), (None,)], "id long"), "id", 2)
+    assert sorted((r.id or 0) for r in train.collect()) == [0, 1] and [r.id for r in test.collect()] == [2]

@@ -247,6 +247,17 @@ def pca_fit(spark, d):
     return spark.createDataFrame([(k, float(v), float(p), float(c)) for k, (v, p, c) in enumerate(zip(model.variances, model.proportion, model.cumulative))], "component int, variance double, proportion double, cumulative double")
 
 
+@query("WITH " + LINES + " SELECT i, j, round(covar_pop(a, b), 6) AS covariance FROM (SELECT id, unnest([0, 1, 2, 3]) AS i, unnest([x0, x1, x2, x3]) AS a, [x0, x1, x2, x3] AS x FROM li) CROSS JOIN (VALUES (0), (1), (2), (3)) t(j) CROSS JOIN LATERAL (SELECT x[j + 1] AS b) GROUP BY i, j")
+def pca_fit_rebuilds_covariance(spark, d):
+    """The fitted loadings and variances, multiplied out again."""
+    model = L.PCA.fit(featured(spark, d))
+    return rounded(_entries(spark, model.loadings @ L.np.diag(model.variances) @ model.loadings.T, "covariance"))
+
+
+def _entries(spark, matrix, name: str) -> DataFrame:
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row)], f"i int, j int, {name} double")
+
+
 _FIXED = L.PCA(mean=L.np.array([0.5, 0.4, 0.5, 0.4]), variances=L.np.array([4.0, 3.0, 2.0, 1.0]), loadings=L.np.array([[0.5, 0.5, 0.5, 0.5], [0.5, 0.5, -0.5, -0.5], [0.5, -0.5, 0.5, -0.5], [0.5, -0.5, -0.5, 0.5]]), kept=2)
 
 
@@ -333,6 +344,14 @@ def kmeans_lloyd3(spark, d):
     return rounded(spark.createDataFrame([(k, *c) for k, c in enumerate(centres)], "cluster int, c0 double, c1 double, c2 double, c3 double"))
 
 
+@query("SELECT CAST(k AS INTEGER) AS cluster, true AS settled FROM range(10) t(k)")
+def kmeans_fit_settles(spark, d):
+    """One more round leaves the fitted centroids where they are (to four digits)."""
+    centres, _ = N.kmeans(_train(spark, d), 10, iterations=200, runs=1, seed=7)
+    again, _ = N.lloyd(_train(spark, d), centres, 1)
+    return spark.createDataFrame([(k, max(abs(x - y) for x, y in zip(a, b)) < 5e-5) for k, (a, b) in enumerate(zip(centres, again))], "cluster int, settled boolean")
+
+
 @query()
 def kmeans_fit(spark, d):
     centres, total = N.kmeans(_train(spark, d), 10, iterations=20, runs=2, seed=7)
@@ -491,6 +510,13 @@ def tree_purity(spark, d):
     return lines(spark, d).groupBy(F.when(F.col("x0") <= 0.5, 1).otherwise(2).alias("leaf")).agg((F.min("label") == F.max("label")).alias("pure"))
 
 
+@query(_SPLIT + " SELECT feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain FROM gains WHERE round(gain, 9) > 0 QUALIFY row_number() OVER (ORDER BY round(gain, 9) DESC, feature, threshold) = 1")
+def tree_fit_root(spark, d):
+    """The first split of a fitted tree."""
+    root = T.Tree.fit(lines(spark, d), X, max_nodes=2).root
+    return rounded(spark.createDataFrame([(root.feature, float(root.threshold), float(root.gain))], "feature int, threshold double, gain double"))
+
+
 @query()
 def tree_fit(spark, d):
     tree = T.Tree.fit(lines(spark, d), X, max_nodes=6)
@@ -522,6 +548,25 @@ def forest_vote(spark, d):
     return T.votes(each, "id")
 
 
+def _beats(rows: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(n, beats): rows, and whether fewer are wrong than by always saying the most frequent label."""
+    wrong = predicted.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") != F.col("label")).alias("wrong")).first()
+    most = rows.groupBy("label").count().agg(F.max("count")).first()[0]
+    return rows.sparkSession.createDataFrame([(wrong["n"], wrong["wrong"] < wrong["n"] - most)], "n long, beats boolean")
+
+
+_COUNTED = "SELECT count(*) AS n, true AS beats FROM embeddings"
+
+
+@query(_COUNTED)
+def forest_fit_beats_majority(spark, d):
+    """The majority vote of a forest grown here, eight features a split."""
+    names = [f"x{i}" for i in range(64)]
+    rows = _train(spark, d).select("id", F.col("label").cast("int").alias("label"), *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
+    forest = T.Forest.fit(rows, names, "id", trees=2, max_nodes=8)
+    return _beats(rows, rows.withColumn("predicted", forest.predict(10)))
+
+
 @query()
 def forest_fit(spark, d):
     model = T.Forest.mllib(_train(spark, d), trees=20, seed=3)
@@ -583,6 +628,24 @@ def logit_fit(spark, d):
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights)], "weight int, value double")
 
 
+@query("SELECT weight, 0.0::DOUBLE AS gradient FROM (VALUES (0), (1), (2), (3), (4)) t(weight)")
+def logit_fit_is_optimal(spark, d):
+    """The gradient a row at the fitted weights, to three digits."""
+    rows = _binary(spark, d)
+    found = L.logistic_objective(rows, [float(w) for w in L.Logistic.fit(rows, penalty=0.5).weights], 0.5).first()
+    n = rows.count()
+    return spark.createDataFrame([(i, abs(round(found[f"g{i}"] / n, 3))) for i in range(5)], "weight int, gradient double")
+
+
+@query("WITH " + LINES + """, m AS (SELECT label, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM li GROUP BY label),
+c AS (SELECT [x0 - m0, x1 - m1, x2 - m2, x3 - m3] AS x FROM li JOIN m USING (label)), n AS (SELECT (SELECT count(*) FROM li) - (SELECT count(*) FROM m) AS n)
+SELECT i, j, round(sum(x[i + 1] * x[j + 1]) / any_value(n), 6) AS within FROM c, n, (VALUES (0), (1), (2), (3)) a(i), (VALUES (0), (1), (2), (3)) b(j) GROUP BY i, j""")
+def lda_fit_rebuilds_within(spark, d):
+    """The covariance within classes out of the fitted directions and variances."""
+    model = L.Discriminant.fit(featured(spark, d))
+    return rounded(_entries(spark, model.directions @ L.np.diag(model.variances) @ model.directions.T, "within"))
+
+
 @query("WITH " + LINES + " SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM li), 6) AS prior, " + ", ".join(f"round(avg(x{i}), 6) AS m{i}" for i in range(4)) + " FROM li GROUP BY label")
 def lda_stats(spark, d):
     rows = lines(spark, d)
@@ -648,6 +711,13 @@ def cv_folds(spark, d):
     return S.cross_validation(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
 
 
+@query("SELECT s_suppkey, s_suppkey = 1 AS left_out FROM supplier")
+def loocv_fold(spark, d):
+    """The rows of one fold: those to train with and the one left out."""
+    train, test = S.leave_one_out_fold(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 1)
+    return train.withColumn("left_out", F.lit(False)).unionByName(test.withColumn("left_out", F.lit(True)))
+
+
 @query("SELECT n_nationkey AS test, (SELECT count(*) - 1 FROM nation) AS train_n FROM nation")
 def loocv_pairs(spark, d):
     return S.leave_one_out(table(spark, d, "nation"), "n_nationkey")

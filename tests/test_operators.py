@@ -340,7 +340,7 @@ def test_forest_samples(spark):
 def test_missing_values_in_kmeans(spark):
     nan = float("nan")
     points = spark.createDataFrame([([0.0, 0.0],), ([nan, 1.0],), ([10.0, nan],), ([10.0, 12.0],)], "features array<double>")
-    centres, _ = N.lloyd(points, [[0.5, 0.25], [9.0, 9.0]], 5, True, "EUCLIDEAN_MISSING_VALUES")
+    centres, _ = N.lloyd(points, [[0.5, 0.25], [9.0, 9.0]], 1, distance="EUCLIDEAN_MISSING_VALUES")
     assert centres == [[0.0, 0.5], [10.0, 12.0]]
     with pytest.raises(ValueError):
         N.lloyd(points, [[0.0, 0.0], [9.0, 9.0]], 5)

@@ -6,8 +6,8 @@
    whatever the input.
 2. Dynamic programming over the bins chooses at most `buckets` boundaries (multiples of `align`) with
    the least total padding, exactly, in whole numbers.
-3. A bucket is dealt by hash into shards of about `shard` sequences, so a bucket with a third of all
-   rows is many groups.  In each shard sequences are ordered by length, and every budget //
+3. A bucket is dealt by hash into shards of about `shard` tokens, so a bucket with a third of all rows is
+   many groups and no group outgrows a task.  In each shard sequences are ordered by length, and every budget //
    boundary of them are a batch; a shard leaves one batch unfilled at most.
 
 Defined cases: a null or empty text is one sequence of no tokens (padded to `align`), its text stays
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MAX_LENGTH, ALIGN, BUCKETS, BUDGET, SHARD = 4096, 1, 16, 65536, 20_000
+MAX_LENGTH, ALIGN, BUCKETS, BUDGET, SHARD = 4096, 1, 16, 65536, 1 << 22
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 FAR = 1 << 62
 
@@ -131,7 +131,7 @@ def packed(docs: DataFrame, max_length: int = MAX_LENGTH, align: int = ALIGN, bu
     cuts = boundaries([h[0] for h in bins], [h[1] for h in bins], buckets) or [max_length]
     sizes = {b: sum(n for x, n in bins if a < x <= b) for a, b in zip([0, *cuts], cuts)}
     rows = sequences(docs, max_length).withColumn("bucket_length", _ladder(F.col("n_tokens"), [(b, b) for b in cuts]))
-    shards = _ladder(F.col("bucket_length"), [(b, max(1, math.ceil(n / shard))) for b, n in sizes.items()])
+    shards = _ladder(F.col("bucket_length"), [(b, max(1, math.ceil(n * b / shard))) for b, n in sizes.items()])
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "sequence", "text", F.spark_partition_id()), shards).cast("int"))
     place = F.row_number().over(Window.partitionBy("bucket_length", "shard").orderBy("n_tokens", "doc_id", "sequence", "text")) - 1
     rows, size = rows.withColumn("place", place), F.floor(F.lit(budget) / F.col("bucket_length"))

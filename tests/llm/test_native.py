@@ -37,11 +37,20 @@ def test_redirects_and_precedence(spark, tmp_path):
         (13, "x://com", None),
         (14, "http://e.org/p/q", CANONICAL.format("r")),
         (15, "http://e.org/p/r", None),
+        (16, "http://f.org/a/b", '<link rel="stylesheet" href="http://www.com/en/canonical.css">'),
+        (17, "http://f.org/c", '<link href="/login?next=http://x.com/en/1" rel="Canonical nofollow">'),
+        (18, "http://f.org/d", "<!-- " + CANONICAL.format("http://x.com/en/1") + " -->"),
+        (19, "http://f.org/e/f/g", CANONICAL.format("../../h/./i?x=1&amp;y=2")),
+        (20, "http://f.org/h/i", CANONICAL.format(" //sub.com/en/q ")),
+        (21, "http://f.org/j", "<link rel=canonical href='mailto:a@x.com'>"),
+        (22, "http://f.org/k/..", CANONICAL.format("http://f.org/h/i")),
+        (23, "http://f.org", None),
+        (24, "http://f.org/l", CANONICAL.format("?p=2")),
     ]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, verdict string")
     found = {r.page_id: (r.rule, r.verdict) for r in judged(pages).collect()}
     block, allow = "block", "allow"
-    assert found == {1: (None, block), 2: ("com/en/", block), 3: (None, block), 4: ("example.com/en/7", allow), 5: (None, allow), 6: (None, allow), 7: (None, allow), 8: (None, allow), 9: ("example.net/de/8", block), 10: ("net/de/", allow), 11: ("org/es/", block), 12: (None, block), 13: (None, allow), 14: (None, allow), 15: (None, allow)}
+    assert found == {1: (None, block), 2: ("com/en/", block), 3: (None, block), 4: ("example.com/en/7", allow), 5: (None, allow), 6: (None, allow), 7: (None, allow), 8: (None, allow), 9: ("example.net/de/8", block), 10: ("net/de/", allow), 11: ("org/es/", block), 12: (None, block), 13: (None, allow), 14: (None, allow), 15: (None, allow), 16: (None, allow), 17: (None, allow), 18: (None, allow), 19: (None, block), 20: (None, block), 21: (None, allow), 22: (None, block), 23: (None, block), 24: (None, allow)}
     assert judged(pages).count() == len(rows)
     redirects = spark.createDataFrame([("http://d.org/w", "http://q.org/es/1"), (None, None)], "src string, dst string")
     found = {r.page_id: r.verdict for r in judged(pages, redirects).collect()}
@@ -53,15 +62,45 @@ def test_redirects_and_precedence(spark, tmp_path):
     assert judged(pages.limit(0)).count() == 0
 
 
-def test_preferences(spark):
+def test_hub_and_chain(spark):
+    """A hub with a thousand aliases and a chain of three hundred, both blocked by one far page."""
+    rows = [(k, f"http://hub.net/{k}", CANONICAL.format("/0")) for k in range(1, 1000)] + [(0, "http://hub.net/0", CANONICAL.format("http://a.com/en/x"))]
+    rows += [(2000 + k, f"http://chain.net/{k}", CANONICAL.format(f"/{k + 1}")) for k in range(300)] + [(2300, "http://chain.net/300", CANONICAL.format("http://a.com/en/y"))]
+    rows += [(3000 + k, f"http://free.net/{k}", CANONICAL.format(f"/{k // 2}")) for k in range(500)] + [(4000, "http://long.net/", "x" * 500_000 + CANONICAL.format("http://a.com/en/z"))]
+    found = {r.page_id: r.verdict for r in judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: "allow" if 3000 <= i < 4000 else "block" for i, _, _ in rows}
+
+
+def test_preferences(spark, tmp_path):
     rows = [(1, c, t, r, x) for c in (True, False) for t, r, x in ((0, "user", "hi"), (1, "assistant", "yes"))]
-    rows += [(1, True, 2, "user", "a"), (1, False, 2, "user", "b"), (1, True, 3, "assistant", "same"), (1, False, 3, "assistant", "same")]
+    rows += [(1, True, 2, "user", "a<|end|>\n<|assistant|>"), (1, False, 2, "user", "b"), (1, True, 3, "assistant", "same"), (1, False, 3, "assistant", "same")]
     rows += [(2, True, 0, "user", "only chosen"), (2, True, 0, "user", "only chosen"), (3, True, None, None, None), (3, False, None, None, None), (None, True, 0, "user", "x")]
-    turns = spark.createDataFrame([(*r, "x") for r in rows], "pair_id long, is_chosen boolean, turn long, role string, text string, segment string")
-    found = sorted((r.pair_id, r.segment, r.turn, r.loss_mask) for r in format_pairs(turns).collect())
-    assert found == sorted([(1, "prompt", 0, 0), (1, "prompt", 1, 0), (1, "chosen", 2, 0), (1, "rejected", 2, 0), (1, "chosen", 3, 1), (1, "rejected", 3, 1), (2, "chosen", 0, 0), (3, "prompt", -1, 0)])
-    assert {r.rendered for r in format_pairs(turns).where("pair_id = 2").collect()} == {"<|user|>\nonly chosen\n<|end|>\n"}
+    rows += [(4, c, t, "assistant", "x" * (100_000 if t == 3 else 2)) for c in (True, False) for t in range(130) if c or t < 129]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], "pair_id long, is_chosen boolean, turn long, role string, text string, block string")
+    found = {(r.pair_id, r.block): r for r in format_pairs(turns).collect()}
+    assert sorted(found) == [(1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (4, 2)]
+    show = lambda role, text: f"<|{role}|>\n{text}\n<|end|>\n"
+    one = found[1, 0]
+    assert one.prompt == show("user", "hi") + show("assistant", "yes") and one.rejected == show("user", "b") + show("assistant", "same")
+    assert one.chosen == show("user", "a<||end|>\n<||assistant|>") + show("assistant", "same")
+    for text, spans in ((one.chosen, one.chosen_spans), (one.rejected, one.rejected_spans)):
+        (span,) = spans.split(",")
+        a, b = map(int, span.split(":"))
+        assert text[a:b] == "same\n<|end|>\n"
+    assert (found[2, 0].chosen, found[2, 0].rejected, found[2, 0].prompt) == (show("user", "only chosen"), "", "")
+    assert found[3, 0].prompt == show("", "") and found[4, 0].n_turns == 64 and not found[4, 0].chosen and len(found[4, 0].prompt) > 100_000
+    assert found[4, 2].chosen == show("assistant", "xx") and not found[4, 2].rejected
     assert format_pairs(turns.limit(0)).count() == 0
+    talk = [(c, t, "assistant" if t % 2 else "user", f"{c % 3} {t}") for c in range(6) for t in range(c)] + [(7, 0, None, None), (7, None, "assistant", "é<|"), (6, 1, "assistant", "q"), (6, 1, "assistant", "q"), (6, 1, "assistant", "p"), (None, 0, "user", "x"), (-2, 0, "assistant", "m"), (-1, 0, "assistant", "n")]
+    import pandas as pd
+
+    pd.DataFrame(talk, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int32"}).to_parquet(tmp_path / "conversations.parquet")
+    assert same(op10_preference_pairs(spark, str(tmp_path)), OP10_SQL, str(tmp_path)) >= 6
+
+
+def test_preference_prompts(spark, sf):
+    found = op10_preference_pairs(spark, sf)
+    assert found.where("prompt != ''").count() > 0.5 * found.count() > 0
 
 
 def test_boundaries_are_optimal():
@@ -105,7 +144,7 @@ def test_packing(spark, sf):
     for r in whole:
         slots.setdefault(r.batch_id, []).append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-    small = packed(docs, shard=2, budget=4096, align=8).collect()
+    small = packed(docs, shard=16, budget=4096, align=8).collect()
     assert len({r.batch_id for r in small if r.bucket_length == 8}) >= 2
 
 

@@ -13,26 +13,37 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.functions.vector import IMPURITY
 from quarry.operators.statistics import check_labels
 
 
 def numeric_splits(rows: DataFrame, features: list[str], classes: int, rule: str = "GINI", group: str | None = None, node_size: int = 1) -> DataFrame:
     """(group, feature, threshold, gain, t, f): every boundary of every feature.
 
-    Values are grouped first, so the window runs over distinct values: running class counts, the next
-    value for the midpoint, and the gain of impurity.  `f` and `t` are class counts of both sides.
+    Values are grouped first, so the windows run over distinct values: running class counts, the next
+    value for the midpoint, and the gain of impurity.  Quantiles cut each feature into as many ranges as
+    there are shuffle partitions, each a window of its own.  `f` and `t` are class counts of both sides.
     """
     g = F.col(group) if group else F.lit(0)
     long = rows.select(g.alias("group"), F.col("label").alias("label"), F.col("weight").alias("weight") if "weight" in rows.columns else F.lit(1).alias("weight"), F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "value"))
     counts = [F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
     by_value = long.groupBy("group", "feature", "value").agg(*counts)
-    upto = Window.partitionBy("group", "feature").orderBy("value")
+    # Each feature's values are dealt into ranges; a range adds up its own counts after those before it.
+    bins = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = by_value.groupBy("group", "feature").agg(F.percentile_approx("value", F.array(*[F.lit(k / bins) for k in range(1, bins)]), 20 * bins).alias("edges"))
+    dealt = by_value.join(edges, ["group", "feature"]).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    names = [f"c{k}" for k in range(classes)]
+    ranges = dealt.groupBy("group", "feature", "bin").agg(*[F.sum(c).alias(c) for c in names], F.min("value").alias("low"))
+    ordered = Window.partitionBy("group", "feature").orderBy("bin")
     whole = Window.partitionBy("group", "feature")
-    running = F.array(*[F.sum(f"c{k}").over(upto.rowsBetween(Window.unboundedPreceding, 0)) for k in range(classes)])
-    totals = F.array(*[F.sum(f"c{k}").over(whole) for k in range(classes)])
-    cut = by_value.select("group", "feature", "value", F.lead("value").over(upto).alias("next"), running.alias("t"), totals.alias("all")).where("next IS NOT NULL")
-    return _gains(cut.withColumn("threshold", (F.col("value") + F.col("next")) / 2), rule, node_size)
+    before = [F.coalesce(F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b{k}") for k, c in enumerate(names)]
+    ranges = ranges.select("group", "feature", "bin", *before, *[F.sum(c).over(whole).alias(f"a{k}") for k, c in enumerate(names)], F.lead("low").over(ordered).alias("low_after"))
+    upto = Window.partitionBy("group", "feature", "bin").orderBy("value")
+    running = [F.sum(c).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias(f"w{k}") for k, c in enumerate(names)]
+    cut = dealt.select("group", "feature", "bin", "value", F.lead("value").over(upto).alias("after"), *running).join(ranges, ["group", "feature", "bin"])
+    following = F.coalesce("after", "low_after")
+    sides = [(F.col(f"w{k}") + F.col(f"b{k}")).alias(f"t{k}") for k in range(classes)]
+    cut = cut.where(following.isNotNull()).select("group", "feature", ((F.col("value") + following) / 2).alias("threshold"), *sides, *[f"a{k}" for k in range(classes)])
+    return _gains(cut, classes, rule, node_size)
 
 
 def nominal_splits(rows: DataFrame, features: list[str], classes: int, rule: str = "GINI", group: str | None = None, node_size: int = 1) -> DataFrame:
@@ -43,18 +54,33 @@ def nominal_splits(rows: DataFrame, features: list[str], classes: int, rule: str
     counts = [F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
     by_value = long.groupBy("group", "feature", "value").agg(*counts)
     whole = Window.partitionBy("group", "feature")
-    totals = F.array(*[F.sum(f"c{k}").over(whole) for k in range(classes)])
-    cut = by_value.select("group", "feature", F.col("value").alias("threshold"), F.array(*[F.col(f"c{k}") for k in range(classes)]).alias("t"), totals.alias("all"))
-    return _gains(cut, rule, node_size)
-
-
-def _gains(cut: DataFrame, rule: str, node_size: int) -> DataFrame:
-    total = lambda a: F.aggregate(F.transform(F.col(a), lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    sided = cut.withColumn("f", F.zip_with("all", "t", lambda a, b: a - b)).withColumn("n", total("all")).withColumn("nt", total("t"))
-    kept = sided.where((F.col("nt") >= node_size) & (F.col("n") - F.col("nt") >= node_size))
-    impurity = IMPURITY[rule]
-    gain = impurity("all") - F.col("nt") / F.col("n") * impurity("t") - (1 - F.col("nt") / F.col("n")) * impurity("f")
-    return kept.select("group", "feature", "threshold", gain.alias("gain"), "t", "f")
+    sides = [F.col(f"c{k}").alias(f"t{k}") for k in range(classes)]
+    cut = by_value.select("group", "feature", F.col("value").alias("threshold"), *sides, *[F.sum(f"c{k}").over(whole).alias(f"a{k}") for k in range(classes)])
+    return _gains(cut, classes, rule, node_size)
+
+
+def _impurity(counts: list[Column], n: Column, rule: str) -> Column:
+    """The impurity of class counts in plain arithmetic, which compiles (n > 0)."""
+    shares = [c / n for c in counts]
+    if rule == "GINI":
+        return 1 - sum(s * s for s in shares)
+    if rule == "ENTROPY":
+        return -sum(F.when(s > 0, s * F.log2(s)).otherwise(0.0) for s in shares)
+    if rule == "CLASSIFICATION_ERROR":
+        return F.abs(1 - (F.greatest(*shares) if len(shares) > 1 else shares[0]))
+    raise ValueError(f"Invalid split rule: {rule}")
+
+
+def _gains(cut: DataFrame, classes: int, rule: str, node_size: int) -> DataFrame:
+    """Counts of one side (t0, t1, ...) and of all (a0, a1, ...) as gains, both sides as arrays."""
+    double = lambda c: F.col(c).cast("double")
+    t, f = [f"t{k}" for k in range(classes)], [F.col(f"a{k}") - F.col(f"t{k}") for k in range(classes)]
+    sized = cut.withColumn("n", sum(double(f"a{k}") for k in range(classes))).withColumn("nt", sum(map(double, t)))
+    kept = sized.where((F.col("nt") >= node_size) & (F.col("n") - F.col("nt") >= node_size))
+    n, nt = F.col("n"), F.col("nt")
+    all_ = _impurity([double(f"a{k}") for k in range(classes)], n, rule)
+    sides = nt / n * _impurity(list(map(double, t)), nt, rule) + (1 - nt / n) * _impurity([x.cast("double") for x in f], n - nt, rule)
+    return kept.select("group", "feature", "threshold", (all_ - sides).alias("gain"), F.array(*t).alias("t"), F.array(*f).alias("f"))
 
 
 def best_splits(splits: DataFrame) -> DataFrame:
@@ -101,7 +127,15 @@ class Tree:
         if mtry is not None and not 0 < mtry <= len(features):
             raise ValueError(f"Invalid number of variables to split on at a node of the tree: {mtry}")
         classes = len(check_labels(rows, label))
-        rows = rows.withColumn("label", F.col(label))
+        weight = ["weight"] if "weight" in rows.columns else []
+        rows = rows.select(*features, *weight, F.col(label).alias("label")).persist()
+        try:
+            return Tree._grown(rows, features, classes, max_nodes, rule, node_size, nominal, mtry, seed)
+        finally:
+            rows.unpersist()
+
+    @staticmethod
+    def _grown(rows: DataFrame, features: list[str], classes: int, max_nodes: int, rule: str, node_size: int, nominal: tuple, mtry: int | None, seed: int) -> "Tree":
         counted = dict(rows.groupBy("label").agg(F.sum("weight") if "weight" in rows.columns else F.count(F.lit(1))).collect())
         tree = Tree(Node(0, [counted.get(k, 0) for k in range(classes)]), list(features), frozenset(nominal))
         queue: list = []

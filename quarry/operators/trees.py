@@ -60,8 +60,8 @@ def nominal_splits(rows: DataFrame, features: list[str], classes: int, rule: str
 
 
 def _impurity(counts: list[Column], n: Column, rule: str) -> Column:
-    """The impurity of class counts in plain arithmetic, which compiles (n > 0)."""
-    shares = [c / n for c in counts]
+    """The impurity of class counts in plain arithmetic, which compiles; null if there are none."""
+    shares = [c / F.nullif(n, F.lit(0.0)) for c in counts]
     if rule == "GINI":
         return 1 - sum(s * s for s in shares)
     if rule == "ENTROPY":
@@ -79,7 +79,8 @@ def _gains(cut: DataFrame, classes: int, rule: str, node_size: int) -> DataFrame
     kept = sized.where((F.col("nt") >= node_size) & (F.col("n") - F.col("nt") >= node_size))
     n, nt = F.col("n"), F.col("nt")
     all_ = _impurity([double(f"a{k}") for k in range(classes)], n, rule)
-    sides = nt / n * _impurity(list(map(double, t)), nt, rule) + (1 - nt / n) * _impurity([x.cast("double") for x in f], n - nt, rule)
+    share = nt / F.nullif(n, F.lit(0.0))
+    sides = share * _impurity(list(map(double, t)), nt, rule) + (1 - share) * _impurity([x.cast("double") for x in f], n - nt, rule)
     return kept.select("group", "feature", "threshold", (all_ - sides).alias("gain"), F.array(*t).alias("t"), F.array(*f).alias("f"))
 
 

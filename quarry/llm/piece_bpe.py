@@ -55,6 +55,8 @@ class Vocabulary:
         pieces = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         ids = {pieces[i]: i for i in plain}
+        if any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in ids):
+            raise ValueError("the vocabulary has pieces that cross the cuts between segments")
         scores = sorted({model.get_score(i) for i in plain}, reverse=True)
         rank_of = {s: k for k, s in enumerate(scores)}
         #: Symbols are ids; characters that are no pieces but start or end one get numbers from n on; others get `other`.

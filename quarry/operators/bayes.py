@@ -41,6 +41,7 @@ def add_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def log_priors(classes: DataFrame, priors: list[float] | None = None) -> DataFrame:
     """(label, log_prior): (n + eps) / (all + k eps), or given priors in order of the labels."""
     if priors is not None:
+        check(0.0, classes.count(), priors)
         return classes.select("label", F.log(F.array(*map(F.lit, priors))[F.col("label")]).alias("log_prior"))
     total = classes.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
     return classes.join(F.broadcast(total)).select("label", F.log((F.col("n") + EPSILON) / (F.col("all") + F.col("k") * EPSILON)).alias("log_prior"))
@@ -54,6 +55,7 @@ def _grid(classes: DataFrame, vocabulary: DataFrame, counts: DataFrame) -> DataF
 
 def multinomial(classes: DataFrame, counts: DataFrame, vocabulary: DataFrame, sigma: float = 1.0) -> DataFrame:
     """(label, term, logp): ln (ntc + sigma) / (nt + sigma * terms)."""
+    check(sigma, classes.count(), None)
     grid = _grid(classes, vocabulary, counts)
     totals = grid.groupBy("label").agg(F.sum("ntc").alias("nt"), F.count(F.lit(1)).alias("terms"))
     return grid.join(F.broadcast(totals), "label").select("label", "term", F.log((F.col("ntc") + sigma) / (F.col("nt") + sigma * F.col("terms"))).alias("logp"))
@@ -61,6 +63,7 @@ def multinomial(classes: DataFrame, counts: DataFrame, vocabulary: DataFrame, si
 
 def bernoulli(classes: DataFrame, counts: DataFrame, vocabulary: DataFrame, sigma: float = 1.0) -> DataFrame:
     """(label, term, logp, log_not): p = (documents with the term + sigma) / (n + 2 sigma)."""
+    check(sigma, classes.count(), None)
     p = (F.col("present") + sigma) / (F.col("n") + 2 * sigma)
     return _grid(classes, vocabulary, counts).select("label", "term", F.log(p).alias("logp"), F.log(1 - p).alias("log_not"))
 

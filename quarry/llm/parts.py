@@ -113,12 +113,16 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
 
 
 class Prints:
-    """The distinct 32-bit fingerprints of one part by bucket, each with a saturating count of documents."""
+    """The distinct 32-bit fingerprints of one part by bucket, each with a saturating count of documents.
 
-    def __init__(self, keys: np.ndarray, docs: np.ndarray, buckets: int):
+    With `contents` (a hash of what stands at each key) also the number of distinct contents, as a
+    power of two that is not below it.
+    """
+
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, buckets: int, contents: np.ndarray | None = None):
         self.buckets = buckets
         order_key = self.order_key(keys)
-        order = np.argsort(order_key, kind="stable")
+        order = np.argsort(order_key, kind="stable") if contents is None else np.lexsort((contents, order_key))
         sorted_keys, d = order_key[order], docs[order]
         starts = group_starts(sorted_keys)
         self.unique = sorted_keys[starts]
@@ -126,6 +130,11 @@ class Prints:
             self.twice = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         else:
             self.twice = np.zeros(0, bool)
+        self.many = None
+        if contents is not None:
+            at = group_starts(sorted_keys, contents[order])
+            found = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(starts)) if len(at) else np.zeros(0)
+            self.many = np.ceil(np.log2(found)).astype(np.uint8)
 
     def order_key(self, keys: np.ndarray) -> np.ndarray:
         """Bucket in the high half, fingerprint in the low half."""
@@ -140,22 +149,36 @@ class Prints:
             yield int(of[a]), int(a), int(b)
 
     def rows(self, part: int) -> pa.Table:
-        out = [(bucket, part, self.unique[a:b].astype(np.uint32).tobytes(), np.packbits(self.twice[a:b]).tobytes()) for bucket, a, b in self.slices()]
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), "prints": pa.array(cols[2], pa.binary()), "twice": pa.array(cols[3], pa.binary())})
+        out = [(bucket, part, self.unique[a:b].astype(np.uint32).tobytes(), np.packbits(self.twice[a:b]).tobytes(), None if self.many is None else self.many[a:b].tobytes()) for bucket, a, b in self.slices()]
+        cols = list(zip(*out)) or [[]] * 5
+        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("prints", "twice", "many"), cols[2:])}})
 
     def estimated(self, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
         """Which of the keys the merged sketches count in two or more documents."""
+        return self._answered(keys, answers, 0)
+
+    def hot(self, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+        """Which of the keys the merged sketches count with more than `hot` contents."""
+        return self._answered(keys, answers, 1)
+
+    def _answered(self, keys: np.ndarray, answers: dict[int, bytes], plane: int) -> np.ndarray:
         flags = np.zeros(len(self.unique), bool)
         for bucket, a, b in self.slices():
             if bucket in answers:
-                flags[a:b] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=b - a).astype(bool)
+                size = (b - a + 7) // 8
+                flags[a:b] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8, size, plane * size), count=b - a).astype(bool)
         return flags[np.searchsorted(self.unique, self.order_key(keys))] if len(flags) else np.zeros(len(keys), bool)
 
 
-def merge_sketches(table: pa.Table) -> pa.Table:
+SKETCHES = "bucket int, part int, prints binary, twice binary, many binary"
+
+
+def merge_sketches(table: pa.Table, hot: int | None = None) -> pa.Table:
     """Adds the count-min rows of all parts in one bucket and answers each part with one bit a fingerprint.
 
+    With `hot` a second bit a fingerprint follows: whether its contents, added up over the parts in
+    the same way, are estimated at more than that.
+
     Two counter rows are addressed by a fingerprint; the estimate is the smaller counter, which is
     never below the true number of documents (saturated at two a part).  Their width follows the
     number of fingerprints in the bucket, eight counters for each.
@@ -167,16 +190,20 @@ def merge_sketches(table: pa.Table) -> pa.Table:
     sizes = [len(p) for p in prints]
     every, counts = np.concatenate(prints), np.concatenate(weights)
     bits = min(28, max(10, int(8 * len(every)).bit_length()))
-    estimate = None
+    contents = None if hot is None else np.exp2(np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8))
+    estimate = total = None
     for factor in (0x9E3779B1, 0x85EBCA77):
         slot = (every * np.uint32(factor)) >> np.uint32(32 - bits)
         row = np.bincount(slot, minlength=1 << bits) + np.bincount(slot[counts > 1], minlength=1 << bits)
         row = np.minimum(row, 2).astype(np.uint8)[slot]
         estimate = row if estimate is None else np.minimum(estimate, row)
-    flags = estimate >= 2
+        if hot is not None:
+            amount = np.bincount(slot, contents, 1 << bits)[slot]
+            total = amount if total is None else np.minimum(total, amount)
+    planes = [estimate >= 2] if hot is None else [estimate >= 2, total > hot]
     out, at = [], 0
     for n in sizes:
-        out.append(np.packbits(flags[at : at + n]).tobytes())
+        out.append(b"".join(np.packbits(x[at : at + n]).tobytes() for x in planes))
         at += n
     return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([0] * len(parts), pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "body": pa.array(out, pa.binary())})
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.parts import FLAGS, NO_ID, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, paired, part_count, rolled
+from quarry.llm.parts import FLAGS, NO_ID, SKETCHES, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, paired, part_count, rolled
 
 WIDTH = 13
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
@@ -154,8 +154,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, with_text: bool
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by one space (`kept`, bytes)."""
     parts = part_count(docs)
     texts = deal(docs, parts)
-    sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, width=width), "bucket int, part int, prints binary, twice binary")
-    flags = sketches.groupBy("bucket").applyInArrow(merge_sketches, FLAGS).repartition(parts, "part")
+    sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, width=width), SKETCHES)
+    flags = sketches.groupBy("bucket").applyInArrow(grouped(merge_sketches), FLAGS).repartition(parts, "part")
     candidates = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(paired(_candidates, buckets=parts, width=width), "bucket int, part int, a binary, b binary, least binary")
     exact = candidates.groupBy("bucket").applyInArrow(_group, FLAGS).repartition(parts, "part")
     both = flags.unionByName(exact)

@@ -10,6 +10,9 @@ The suffix order is only needed where repeats can be, and only to a depth of 50
 2. Runs of consecutive windows with one anchor are cut out as pieces (at most 84 bytes).  A part
    sends its distinct pieces, each with its smallest document, to the bucket of the anchor, so all
    equal windows meet in one bucket and a hot passage arrives once per part.
+   An anchor with more than HOT pieces (estimated by the same sketches) is no key any more: its runs
+   are cut by the place of the anchor in the window, STEP places a piece, and the key is the 46
+   bytes that all windows of the piece share.  Equal windows have equal places, so they still meet.
 3. A bucket sorts the suffixes of its pieces by the difference cover modulo 3 (`suffix_order`): the
    triples at positions 1 and 2 modulo 3 are sorted and named, the string of names is sorted by
    recursion down to the depth needed, the remaining suffixes are sorted by (symbol, rank of the
@@ -32,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.parts import FLAGS, NO_ID, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, mix, paired, part_count
+from quarry.llm.parts import FLAGS, NO_ID, SKETCHES, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, mix, paired, part_count
 
 LENGTH = 50
 ANCHOR = 16
 #: A bucket is sorted in so many slices, dealt by the anchor, to bound its work arrays.
 SLICES = 16
+#: Pieces of one anchor that are kept together, and the windows of a piece (of 54 bytes) beyond that.
+HOT, STEP = 8192, 5
 
 
 # --- suffix order by a difference cover -------------------------------------------------------
@@ -126,10 +131,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of windows with one anchor: document row, start in the document, windows, key of the anchor."""
+    """Runs of windows with one anchor: document row, start in the document, windows, start of the anchor, key.
 
-    def __init__(self, texts: list[bytes], length: int):
-        rows, starts, counts, keys = [], [], [], []
+    On request also `content`, a hash of the anchor's key, the run's ends and its length.
+    """
+
+    def __init__(self, texts: list[bytes], length: int, contents: bool = False):
+        rows, starts, counts, places, keys, ends = [], [], [], [], [], []
         spread = length - ANCHOR + 1
         for lo, hi in chunks(texts):
             sizes = np.array([len(t) for t in texts[lo:hi]], np.int64)
@@ -159,12 +167,35 @@ class Runs:
             rows.append(row + lo)
             starts.append(begin - first[row])
             counts.append(count)
+            places.append(anchor[begin] - first[row])
             keys.append(mix(h[anchor[begin]] + U64(1)))
+            if contents:
+                ends.append(mix((h[begin] + U64(3)) * U64(0x9E3779B97F4A7C15) + h[begin + count + (length - 1 - ANCHOR)] * U64(5) + keys[-1] + count.astype(U64)))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        self.row, self.start, self.count, self.key = join(rows, np.int64), join(starts, np.int64), join(counts, np.int64), join(keys, U64)
-
-    def keep(self, flags: np.ndarray) -> None:
-        self.row, self.start, self.count, self.key = (x[flags] for x in (self.row, self.start, self.count, self.key))
+        self.row, self.start, self.count, self.place = (join(x, np.int64) for x in (rows, starts, counts, places))
+        self.key, self.content = join(keys, U64), join(ends, U64) if contents else None
+
+    def keep(self, chosen: np.ndarray) -> None:
+        """Only the runs chosen by flags or positions."""
+        self.row, self.start, self.count, self.place, self.key = (x[chosen] for x in (self.row, self.start, self.count, self.place, self.key))
+
+    def split(self, hot: np.ndarray, texts: list[bytes], length: int) -> None:
+        """Cuts the hot runs by the place of the anchor in the window, STEP places a run, each with a key of its own.
+
+        Windows with the places k .. k + STEP - 1 share the bytes from `k` before the anchor on, length - STEP + 1 of them.
+        """
+        row, start, end, place = self.row[hot], self.start[hot], (self.start + self.count)[hot], self.place[hot]
+        high, low = (place - start) // STEP, (place - end + 1) // STEP
+        n = high - low + 1
+        of = np.repeat(np.arange(len(n)), n)
+        group = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+        row, start, end, place = row[of], start[of], end[of], place[of]
+        shared = place - group * STEP
+        key = np.fromiter((xxh3_64_intdigest(texts[r][a : a + length - STEP + 1], g) for r, a, g in zip(row.tolist(), shared.tolist(), group.tolist())), U64, len(of))
+        start = np.maximum(start, shared - (STEP - 1))
+        count = np.minimum(end, shared + 1) - start
+        self.keep(~hot)
+        self.row, self.start, self.count, self.place, self.key = (np.concatenate(x) for x in ((self.row, row), (self.start, start), (self.count, count), (self.place, place), (self.key, key)))
 
     def pieces(self, texts: list[bytes], length: int) -> list[bytes]:
         ends = self.start + self.count + (length - 1)
@@ -176,13 +207,16 @@ def _slice_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sketch(table: pa.Table, buckets: int, length: int) -> pa.Table:
-    runs, doc_ids = Runs(bodies(table), length), ids(table)
-    return Prints(runs.key, doc_ids[runs.row], buckets).rows(table.column("part")[0].as_py())
+    runs, doc_ids = Runs(bodies(table), length, contents=True), ids(table)
+    return Prints(runs.key, doc_ids[runs.row], buckets, runs.content).rows(table.column("part")[0].as_py())
 
 
 def _flagged(texts: list[bytes], doc_ids: np.ndarray, flags: pa.Table, buckets: int, length: int) -> Runs:
     runs = Runs(texts, length)
-    runs.keep(Prints(runs.key, doc_ids[runs.row], buckets).estimated(runs.key, answers(flags, 0)))
+    prints, found = Prints(runs.key, doc_ids[runs.row], buckets), answers(flags, 0)
+    repeated, hot = prints.estimated(runs.key, found), prints.hot(runs.key, found)
+    runs.keep(repeated)
+    runs.split(hot[repeated], texts, length)
     return runs
 
 
@@ -193,8 +227,7 @@ def _pieces(table: pa.Table, flags: pa.Table, buckets: int, length: int) -> pa.T
         texts, doc_ids = bodies(table), ids(table)
         runs = _flagged(texts, doc_ids, flags, buckets, length)
         order = np.lexsort((_slice_of(runs.key, buckets), runs.key % U64(buckets)))
-        for f in ("row", "start", "count", "key"):
-            setattr(runs, f, getattr(runs, f)[order])
+        runs.keep(order)
         bucket, docs = (runs.key % U64(buckets)).astype(np.int64), doc_ids[runs.row].tolist()
         which = _slice_of(runs.key, buckets)
         cut = runs.pieces(texts, length)
@@ -367,12 +400,12 @@ def _apply(table: pa.Table, flags: pa.Table, buckets: int, length: int, with_tex
     return pa.table(out)
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = False, keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; on request `kept` (the remaining whole characters) and `rest` (columns named in keep)."""
     parts = part_count(docs)
     texts = deal(docs, parts, keep)
-    sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, length=length), "bucket int, part int, prints binary, twice binary")
-    flags = sketches.groupBy("bucket").applyInArrow(merge_sketches, FLAGS).repartition(parts, "part")
+    sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, length=length), SKETCHES)
+    flags = sketches.groupBy("bucket").applyInArrow(grouped(merge_sketches, hot=hot), FLAGS).repartition(parts, "part")
     pieces = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(paired(_pieces, buckets=parts, length=length), "bucket int, part int, pieces array<binary>, sizes array<binary>, least array<binary>")
     classes = pieces.groupBy("bucket").applyInArrow(grouped(_classes, length=length), FLAGS).repartition(parts, "part")
     both = flags.unionByName(classes)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm.suffix_array import drop_repeats, remove_repeated_bytes, suffix_order
+from quarry.llm.suffix_array import HOT, Runs, drop_repeats, remove_repeated_bytes, suffix_order
 
 END = float("inf")
 
@@ -27,9 +27,9 @@ def brute(rows, length=50):
     return sorted(out, key=str)
 
 
-def got(spark, rows):
+def got(spark, rows, hot=HOT):
     docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
-    return sorted((tuple(r) for r in remove_repeated_bytes(docs).collect()), key=str)
+    return sorted((tuple(r) for r in remove_repeated_bytes(docs, hot=hot).collect()), key=str)
 
 
 @pytest.mark.parametrize("alphabet", [2, 4, 200])
@@ -43,7 +43,8 @@ def test_suffix_order(alphabet):
         assert order.tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", [HOT, 2, 0])
+def test_matches_brute_force(spark, hot):
     rnd = random.Random(2)
     passages = ["".join(rnd.choice("abc dé") for _ in range(rnd.randrange(30, 140))) for _ in range(12)]
     rows = []
@@ -51,13 +52,29 @@ def test_matches_brute_force(spark):
         text = "".join(rnd.choice(passages)[rnd.randrange(20) :] if rnd.random() < 0.5 else "".join(rnd.choice("xyz uvwß") for _ in range(rnd.randrange(80))) for _ in range(rnd.randrange(7)))
         rows.append((i if i != 9 else None, text, "clash"))
     rows += [(200, rows[5][1], None), (200, rows[6][1] + "!", None), (201, None, None), (202, "", None), (203, "ab" * 400, None), (204, "b" + "ab" * 300, None), (205, "é" * 3000, None), (206, "é" * 40, None)]
-    assert got(spark, rows) == brute([r[:2] for r in rows])
+    assert got(spark, rows, hot) == brute([r[:2] for r in rows])
 
 
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    assert sorted((tuple(r) for r in remove_repeated_bytes(docs).collect()), key=str) == brute(rows)
+    want = brute(rows)
+    for hot in (HOT, 3):
+        assert sorted((tuple(r) for r in remove_repeated_bytes(docs, hot=hot).collect()), key=str) == want
+
+
+def test_hot_anchor_is_dealt_out():
+    """A phrase in thousands of contexts: one key before the split, then few pieces a key and every window once."""
+    rnd = random.Random(3)
+    texts = [("".join(rnd.choice("abcdefgh ") for _ in range(40)) + "a phrase that is very common here " + "".join(rnd.choice("abcdefgh ") for _ in range(40))).encode() for _ in range(3000)]
+    runs = Runs(texts, 50)
+    _, of, many = np.unique(runs.key, return_inverse=True, return_counts=True)
+    windows = int(runs.count.sum())
+    assert many.max() > 1000 and windows == sum(len(t) - 49 for t in texts)
+    runs.split(many[of] > 10, texts, 50)
+    flat = {(r, k) for r, a, n in zip(runs.row, runs.start, runs.count) for k in range(a, a + n)}
+    assert len(flat) == int(runs.count.sum()) == windows
+    assert np.unique(runs.key, return_counts=True)[1].max() <= 10
 
 
 def test_empty(spark):

@@ -68,3 +68,26 @@ def test_common_shingles_chunks_and_budgets(spark, monkeypatch):
     least = {r: min(i for i, q in enumerate(root) if q == r) for r in root}
     found = {r.doc_id: r.component_id for r in similar.similar_groups(docs, chunk=7).collect()}
     assert found == {**{i: least[r] for i, r in enumerate(root)}, None: 1}
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, equal ids, clashing names and an empty table through the whole pipeline."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string, n_removed string, rest string, part string, text_2 string"
+    rnd = random.Random(6)
+    prose = lambda n: " ".join(rnd.choice(("the", "of", "and", "to", "in", "that", "is", "was", "he", "for")) if rnd.random() < 0.4 else "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(3, 9))) for _ in range(n))
+    texts = [prose(200) for _ in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    rows += [(100, texts[0], "en"), (100, texts[0], "en"), (1, prose(200), "en"), (None, prose(200), None), (None, prose(200), None), (101, None, None), (102, "", "en"), (103, " \n", None), (104, prose(60_000), "en"), (105, "x" * 300_000, "en")]
+    docs = spark.createDataFrame([(i, t, lang, None, None, *["x"] * 6) for i, t, lang in rows], schema)
+    docs.write.parquet(str(tmp_path / "some/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    stay = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stay = stage(spark, stay, str(tmp_path / "some"))
+        assert stay.schema.names == docs.schema.names, name
+    ids = sorted((r.doc_id for r in stay.collect()), key=str)
+    assert ids == sorted([*range(30), 1, None, None, 104], key=str)
+    found = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert sorted({r.doc_id for r in found}, key=str) == sorted(set(ids), key=str)
+    assert sum(r.n_tokens for r in found) == 33 * 200 + 60_000

@@ -45,6 +45,7 @@ def brute(rows):
 def test_matches_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()] + [(10001, None), (10002, ""), (10003, "A b"), (10004, "a\tB"), (None, "É x y z"), (None, "É x y z"), (10004, "a b")]
+    rows += [(10005, "longword" * 30_000), (10006, " ".join(f"Q{k % 977}" for k in range(60_000)))]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component long".replace("component long", "component_id string"))
     assert sorted((tuple(r) for r in near_duplicates(docs).collect()), key=str) == brute(rows)
 

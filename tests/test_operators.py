@@ -349,3 +349,15 @@ def test_missing_values_in_kmeans(spark):
 def test_leave_one_out_fold(spark):
     train, test = S.leave_one_out_fold(spark.createDataFrame([(1,), (2,), (None,)], "id long"), "id", 2)
     assert sorted((r.id or 0) for r in train.collect()) == [0, 1] and [r.id for r in test.collect()] == [2]
+
+
+def test_split_ranges_are_fixed_once(spark):
+    """Approximate quantiles differ between two evaluations; ranges taken from both would miscount."""
+    rows = spark.range(0, 3000, 1, 6).select((F.col("id") % 3).cast("int").alias("label"), (F.xxhash64("id") % 100_003).cast("double").alias("x"), (F.xxhash64("id", F.lit(1)) % 997).cast("double").alias("z"))
+    splits = T.numeric_splits(rows, ["x", "z"], 3, only={0: [1]})
+    assert "percentile_approx" not in splits._jdf.queryExecution().optimizedPlan().toString()
+    data, found = rows.collect(), splits.collect()
+    assert {r.feature for r in found} == {1} and len(found) == len({r.z for r in data}) - 1
+    for s in found[::50]:
+        left = [sum(r.label == k for r in data if r.z <= s.threshold) for k in range(3)]
+        assert list(s.t) == left and [t + f for t, f in zip(s.t, s.f)] == [1000] * 3

@@ -126,6 +126,9 @@ class Prints:
         sorted_keys, d = order_key[order], docs[order]
         starts = group_starts(sorted_keys)
         self.unique = sorted_keys[starts]
+        #: The place in `unique` of each key.
+        self.index = np.empty(len(keys), np.int64)
+        self.index[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         if len(starts):
             self.twice = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         else:
@@ -153,21 +156,21 @@ class Prints:
         cols = list(zip(*out)) or [[]] * 5
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("prints", "twice", "many"), cols[2:])}})
 
-    def estimated(self, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    def estimated(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which of the keys the merged sketches count in two or more documents."""
-        return self._answered(keys, answers, 0)
+        return self._answered(answers, 0)
 
-    def hot(self, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    def hot(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which of the keys the merged sketches count with more than `hot` contents."""
-        return self._answered(keys, answers, 1)
+        return self._answered(answers, 1)
 
-    def _answered(self, keys: np.ndarray, answers: dict[int, bytes], plane: int) -> np.ndarray:
+    def _answered(self, answers: dict[int, bytes], plane: int) -> np.ndarray:
         flags = np.zeros(len(self.unique), bool)
         for bucket, a, b in self.slices():
             if bucket in answers:
                 size = (b - a + 7) // 8
                 flags[a:b] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8, size, plane * size), count=b - a).astype(bool)
-        return flags[np.searchsorted(self.unique, self.order_key(keys))] if len(flags) else np.zeros(len(keys), bool)
+        return flags[self.index]
 
 
 SKETCHES = "bucket int, part int, prints binary, twice binary, many binary"

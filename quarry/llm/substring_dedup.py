@@ -88,7 +88,7 @@ def _sketch(table: pa.Table, buckets: int, width: int) -> pa.Table:
 
 def _flagged(table: pa.Table, flags: pa.Table, buckets: int, width: int) -> tuple[Windows, Exact]:
     w = Windows(table, width)
-    w.keep(Prints(w.a, w.doc, buckets).estimated(w.a, answers(flags, 0)))
+    w.keep(Prints(w.a, w.doc, buckets).estimated(answers(flags, 0)))
     return w, Exact(w, buckets)
 
 

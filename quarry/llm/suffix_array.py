@@ -40,7 +40,7 @@ from quarry.llm.parts import FLAGS, NO_ID, SKETCHES, U64, Prints, answers, bodie
 LENGTH = 50
 ANCHOR = 16
 #: A bucket is sorted in so many slices, dealt by the anchor, to bound its work arrays.
-SLICES = 16
+SLICES = 8
 #: Pieces of one anchor that are kept together, and the windows of a piece (of 54 bytes) beyond that.
 HOT, STEP = 8192, 5
 
@@ -69,37 +69,54 @@ def _named(packed: np.ndarray) -> tuple[np.ndarray, int]:
     return names, int(new.sum()) + 1
 
 
+def _ordered(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in their order, and the keys in order; small ones are sorted with their place in the low bits."""
+    bits = len(keys).bit_length()
+    if bound << bits >= 1 << 63:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = (keys << bits) | np.arange(len(keys))
+    both.sort()
+    return both & ((1 << bits) - 1), both >> bits
+
+
 def suffix_order(symbols: np.ndarray, bound: int, depth: int) -> np.ndarray:
     """Positions of all suffixes in order of their first `depth` symbols at least (values 1 .. bound - 1; ties any way)."""
     n = len(symbols)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: tuple(symbols[i:])), np.int64)
     s = np.concatenate([symbols.astype(np.int64), np.zeros(4, np.int64)])
-    ones, twos, zeros = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3), np.arange(0, n, 3)
-    ones, twos = ones[ones < n + (n % 3 == 1)], twos[twos < n]
-    sample = np.concatenate([ones, twos])
-    names, limit = _packed((s[sample], bound), (s[sample + 1], bound), (s[sample + 2], bound))
+    n1, n2, n0 = (n + 1) // 3, n // 3, (n + 2) // 3  # suffixes at places 1, 2 and 0 modulo 3
+    n1 += n % 3 == 1  # a place past the end, so that the last suffix at 0 modulo 3 has a next one
+    of = lambda x, k, size: x[k : k + 3 * size - 2 : 3] if size else x[:0]
+    triple = lambda k: np.concatenate([of(s, 1 + k, n1), of(s, 2 + k, n2)])
+    names, limit = _packed((triple(0), bound), (triple(1), bound), (triple(2), bound))
     distinct = False
+    m = n1 + n2
     if limit > 1 << 20:  # else the packed triple is a small enough name, already in order
         names, limit = _named(names)
-        distinct = limit - 1 == len(sample)
+        distinct = limit - 1 == m
     if distinct or depth <= 3:
-        order = np.argsort(names)
+        order, _ = _ordered(names, limit)
     else:
         order = suffix_order(names, limit, -(-depth // 3))
-    m = len(sample)
+    rank_of = np.empty(m, np.int64)
+    rank_of[order] = np.arange(1, m + 1)
     rank = np.zeros(n + 4, np.int64)
-    rank[sample[order]] = np.arange(1, m + 1)
-    first = sample[order]
-    first = first[first < n]
+    of(rank, 1, n1)[:], of(rank, 2, n2)[:] = rank_of[:n1], rank_of[n1:]
+    is_one = order < n1
+    first = np.where(is_one, 3 * order + 1, 3 * (order - n1) + 2)
+    inside = first < n
+    first, order, is_one = first[inside], order[inside], is_one[inside]
     # Suffixes at multiples of 3: by (symbol, rank of the next), then merged into the sample.
-    zero_key = s[zeros] * (m + 1) + rank[zeros + 1]
-    rest = zeros[np.argsort(zero_key)]
-    a1, a2 = first[first % 3 == 1], first[first % 3 == 2]
-    before1 = np.searchsorted(s[a1] * (m + 1) + rank[a1 + 1], s[rest] * (m + 1) + rank[rest + 1])
-    either = np.concatenate([a2, rest])
-    both, _ = _packed((s[either], bound), (s[either + 1], bound), (rank[either + 2], m + 1))
+    rest, rest_key = _ordered(of(s, 0, n0) * (m + 1) + of(rank, 1, n0), bound * (m + 1))
+    key1 = of(s, 1, n1) * (m + 1) + of(rank, 2, n1)
+    before1 = np.searchsorted(key1[order[is_one]], rest_key)
+    a2 = order[~is_one] - n1
+    next_ = lambda k: np.concatenate([of(s, 2 + k, n2)[a2], of(s, k, n0)[rest]])
+    both, _ = _packed((next_(0), bound), (next_(1), bound), (np.concatenate([of(rank, 4, n2)[a2], of(rank, 2, n0)[rest]]), m + 1))
     before2 = np.searchsorted(both[: len(a2)], both[len(a2) :])
+    rest = 3 * rest
     at = np.arange(len(rest)) + np.maximum.accumulate(before1) + np.maximum.accumulate(before2)
     out = np.empty(n, np.int64)
     free = np.ones(n, bool)
@@ -191,7 +208,12 @@ class Runs:
         group = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
         row, start, end, place = row[of], start[of], end[of], place[of]
         shared = place - group * STEP
-        key = np.fromiter((xxh3_64_intdigest(texts[r][a : a + length - STEP + 1], g) for r, a, g in zip(row.tolist(), shared.tolist(), group.tolist())), U64, len(of))
+        used, at = np.unique(row, return_inverse=True)
+        first = np.cumsum([0, *(len(texts[r]) for r in used.tolist())])
+        w, at = _words(b"".join(texts[r] for r in used.tolist())), first[at] + shared
+        key, size = group.astype(U64), length - STEP + 1
+        for k in (*range(0, size - 7, 8), size - 8):
+            key = mix(key * U64(0x9E3779B97F4A7C15) + w[at + k] + U64(1))
         start = np.maximum(start, shared - (STEP - 1))
         count = np.minimum(end, shared + 1) - start
         self.keep(~hot)
@@ -214,7 +236,7 @@ def _sketch(table: pa.Table, buckets: int, length: int) -> pa.Table:
 def _flagged(texts: list[bytes], doc_ids: np.ndarray, flags: pa.Table, buckets: int, length: int) -> Runs:
     runs = Runs(texts, length)
     prints, found = Prints(runs.key, doc_ids[runs.row], buckets), answers(flags, 0)
-    repeated, hot = prints.estimated(runs.key, found), prints.hot(runs.key, found)
+    repeated, hot = prints.estimated(found), prints.hot(found)
     runs.keep(repeated)
     runs.split(hot[repeated], texts, length)
     return runs

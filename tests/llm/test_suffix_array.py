@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from quarry.llm import suffix_array
 from quarry.llm.suffix_array import HOT, Runs, drop_repeats, remove_repeated_bytes, suffix_order
 
 END = float("inf")
@@ -106,3 +107,25 @@ def test_very_long_texts(spark):
     rnd = random.Random(9)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(300_000))
     assert got(spark, [(1, long, ""), (2, "z" + long[1000:200_000], ""), (3, "q" * 100_000, "")]) == brute([(1, long), (2, "z" + long[1000:200_000]), (3, "q" * 100_000)])
+
+
+def test_hot_runs_are_keyed_at_once(monkeypatch):
+    """Cutting hot runs calls nothing once a piece; equal windows still get one key, windows with other shared bytes another."""
+    def refused(*_):
+        raise AssertionError("a hash a piece")
+
+    monkeypatch.setattr(suffix_array, "xxh3_64_intdigest", refused)
+    line = b"a line of a licence that is in very many documents, whatever stands around it"
+    texts = [bytes([65 + k]) * 40 + line + bytes([97 + k]) * 40 for k in range(6)]
+    runs = suffix_array.Runs(texts, 50)
+    runs.split(np.ones(len(runs.row), bool), texts, 50)
+    keys: dict[bytes, set[int]] = {}
+    seen = 0
+    for row, start, count, key in zip(runs.row.tolist(), runs.start.tolist(), runs.count.tolist(), runs.key.tolist()):
+        assert count <= suffix_array.STEP
+        for k in range(start, start + count):
+            keys.setdefault(texts[row][k : k + 50], set()).add(key)
+            seen += 1
+    assert seen == sum(len(t) - 49 for t in texts)
+    assert all(len(keys[line[k : k + 50]]) == 1 for k in range(len(line) - 49))
+    assert len(set().union(*keys.values())) > len(texts)

@@ -242,31 +242,52 @@ def _flagged(texts: list[bytes], doc_ids: np.ndarray, flags: pa.Table, buckets:
     return runs
 
 
+PIECES = "bucket int, part int, pieces binary, sizes binary, least binary, slices binary"
+
+
+def _cut(data, ends: np.ndarray) -> pa.Array:
+    """The bytes of an array, cut at its rows `ends` (the last is its length), without a step a piece."""
+    raw = np.ascontiguousarray(data).view(np.uint8)
+    width = data.dtype.itemsize
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def _pieces(table: pa.Table, flags: pa.Table, buckets: int, length: int) -> pa.Table:
-    rows = []
+    """PIECES of one part: its distinct pieces for each bucket, slice by slice, with their sizes, smallest documents and the pieces a slice."""
+    least: dict[bytes, int] = {}
+    new: list[int] = []
+    part, which = 0, np.zeros(0, np.int64)
+    bucket = which
     if len(table):
         part = table.column("part")[0].as_py()
         texts, doc_ids = bodies(table), ids(table)
         runs = _flagged(texts, doc_ids, flags, buckets, length)
-        order = np.lexsort((_slice_of(runs.key, buckets), runs.key % U64(buckets)))
-        runs.keep(order)
-        bucket, docs = (runs.key % U64(buckets)).astype(np.int64), doc_ids[runs.row].tolist()
-        which = _slice_of(runs.key, buckets)
-        cut = runs.pieces(texts, length)
-        sent: dict[int, list[list[bytes]]] = {}
-        at = group_starts(bucket, which)
-        for lo, hi in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist()):
-            least: dict[bytes, int] = {}
-            for piece, doc in zip(cut[lo:hi], docs[lo:hi]):
-                if least.get(piece, NO_ID) >= doc:
-                    least[piece] = doc
-            sizes = np.fromiter(map(len, least), np.uint16, len(least))
-            row = sent.setdefault(int(bucket[lo]), [[b""] * SLICES for _ in range(3)])
-            for column, x in zip(row, (b"".join(least), sizes.tobytes(), np.fromiter(least.values(), np.int64, len(least)).tobytes())):
-                column[int(which[lo])] = x
-        rows = [(k, part, *row) for k, row in sent.items()]
-    cols = list(zip(*rows)) or [[]] * 5
-    return pa.table({"bucket": pa.array(cols[0], pa.int32()), "part": pa.array(cols[1], pa.int32()), **{n: pa.array(c, pa.list_(pa.binary())) for n, c in zip(("pieces", "sizes", "least"), cols[2:])}})
+        runs.keep(np.lexsort((_slice_of(runs.key, buckets), runs.key % U64(buckets))))
+        bucket, which = (runs.key % U64(buckets)).astype(np.int64), _slice_of(runs.key, buckets)
+        for k, (piece, doc) in enumerate(zip(runs.pieces(texts, length), doc_ids[runs.row].tolist())):
+            known = least.get(piece)  # equal pieces have equal keys, so a piece is sent once
+            if known is None:
+                new.append(k)
+                least[piece] = doc
+            elif doc < known:
+                least[piece] = doc
+    bucket, which = bucket[new], which[new]
+    at = group_starts(bucket)
+    ends = np.append(at[1:], len(bucket)) if len(at) else at
+    of = np.repeat(np.arange(len(at)), ends - at)
+    sizes = np.fromiter(map(len, least), np.uint16, len(least))
+    text_ends = np.cumsum(sizes, dtype=np.int64)[ends - 1] if len(at) else at
+    slices = np.bincount(of * SLICES + which, minlength=len(at) * SLICES).astype(np.uint32)
+    columns = [
+        pa.array(bucket[at], pa.int32()),
+        pa.array(np.full(len(at), part), pa.int32()),
+        _cut(np.frombuffer(b"".join(least), np.uint8), text_ends),
+        _cut(sizes, ends),
+        _cut(np.fromiter(least.values(), np.int64, len(least)), ends),
+        _cut(slices, np.arange(1, len(at) + 1) * SLICES),
+    ]
+    return pa.table(columns, names=["bucket", "part", "pieces", "sizes", "least", "slices"])
 
 
 def class_minima(pieces: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,59 +321,49 @@ def class_minima(pieces: list[bytes], least: np.ndarray, length: int) -> tuple[n
 
 
 def _classes(table: pa.Table, length: int) -> pa.Table:
-    """One bucket: suffix-sorts the distinct pieces of all parts; answers each part with its pieces' windows' smallest documents."""
+    """One bucket: suffix-sorts the distinct pieces of all parts; answers each part with its pieces' windows' smallest documents.
+
+    An answer holds the names of the pieces and their runs of windows by smallest document.  Apart from
+    cutting the answers, nothing is done part by part: there are as many pairs of part and bucket as the square of the parts.
+    """
     parts, bucket = table.column("part").to_pylist(), table.column("bucket")[0].as_py()
-    columns = [table.column(c).to_pylist() for c in ("pieces", "sizes", "least")]
-    out: list[list[bytes]] = [[] for _ in parts]
+    text, sizes, docs, slices = (b"".join(table.column(c).to_pylist()) for c in ("pieces", "sizes", "least", "slices"))
+    sizes, docs, slices = np.frombuffer(sizes, np.uint16).astype(np.int64), np.frombuffer(docs, np.int64), np.frombuffer(slices, np.uint32)
+    ends = np.cumsum(sizes)
+    which = np.repeat(np.tile(np.arange(SLICES), len(parts)), slices)
+    names, many, start = np.zeros(len(sizes), U64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    run_docs, run_lens, base = [], [], 0
     for k in range(SLICES):
-        if any(x[k] for x in columns[0]):
-            for whole, answer in zip(out, _slice_classes(*([x[k] for x in c] for c in columns), length)):
-                whole.append(len(answer).to_bytes(8, "little") + answer)
-    return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([1] * len(parts), pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "body": pa.array([b"".join(x) for x in out], pa.binary())})
-
-
-def _slice_classes(texts: list[bytes], all_sizes: list[bytes], all_docs: list[bytes], length: int) -> list[bytes]:
-    """The answers to all parts for one slice of a bucket: names of pieces, their runs of windows by smallest document."""
+        mine = np.flatnonzero(which == k)
+        if len(mine):
+            own, name, per_piece, run_doc, run_len = _slice_classes([text[a:b] for a, b in zip((ends - sizes)[mine].tolist(), ends[mine].tolist())], docs[mine], length)
+            names[mine], many[mine], start[mine] = name[own], per_piece[own], base + (np.cumsum(per_piece) - per_piece)[own]
+            run_docs.append(run_doc)
+            run_lens.append(run_len)
+            base += len(run_doc)
+    take = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    run_doc = np.concatenate([np.zeros(0, np.int64), *run_docs])[take]
+    run_len = np.concatenate([np.zeros(0, np.int64), *run_lens])[take].astype(np.uint16)
+    piece_at = np.concatenate([[0], np.cumsum(slices.reshape(-1, SLICES).sum(axis=1, dtype=np.int64))])
+    run_at = np.concatenate([[0], np.cumsum(many)])[piece_at].tolist()
+    many, piece_at, out = many.astype(np.uint16), piece_at.tolist(), []
+    for a, b, x, y in zip(piece_at, piece_at[1:], run_at, run_at[1:]):
+        out.append(b"".join(((b - a).to_bytes(8, "little"), names[a:b], run_doc[x:y], many[a:b], run_len[x:y])))
+    return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([1] * len(parts), pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "body": pa.array(out, pa.binary())})
+
+
+def _slice_classes(sent: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """One slice of a bucket: the distinct piece of each piece sent; their names, and their runs of windows by smallest document."""
     index: dict[bytes, int] = {}
-    least: list[int] = []
-    sent = []
-    for text, sizes, docs in zip(texts, all_sizes, all_docs):
-        own, at = [], 0
-        for size, doc in zip(np.frombuffer(sizes, np.uint16).tolist(), np.frombuffer(docs, np.int64).tolist()):
-            piece = text[at : at + size]
-            at += size
-            k = index.setdefault(piece, len(least))
-            if k == len(least):
-                least.append(doc)
-            elif doc < least[k]:
-                least[k] = doc
-            own.append(k)
-        sent.append(own)
+    own = np.fromiter((index.setdefault(piece, len(index)) for piece in sent), np.int64, len(sent))
     pieces = list(index)
-    minima, counts = class_minima(pieces, np.array(least, np.int64), length)
-    # Runs of windows with one smallest document, piece by piece.
+    least = np.full(len(pieces), NO_ID)
+    np.minimum.at(least, own, docs)
+    minima, counts = class_minima(pieces, least, length)
     piece_of = np.repeat(np.arange(len(pieces)), counts)
     at = group_starts(piece_of, minima)
-    run_piece, run_doc, run_len = piece_of[at], minima[at], np.diff(np.append(at, len(minima)))
-    per_piece = np.bincount(run_piece, minlength=len(pieces))
-    first = np.cumsum(per_piece) - per_piece
     names = np.fromiter(map(xxh3_64_intdigest, pieces), U64, len(pieces))
-    out = []
-    for own in sent:
-        k = np.array(own, np.int64)
-        n = per_piece[k]
-        take = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append(len(k).to_bytes(8, "little") + names[k].tobytes() + run_doc[take].tobytes() + n.astype(np.uint16).tobytes() + run_len[take].astype(np.uint16).tobytes())
-    return out
-
-
-def _answers(body: bytes):
-    """The slices' answers in a bucket's answer."""
-    at = 0
-    while at < len(body):
-        size = int.from_bytes(body[at : at + 8], "little")
-        yield _answer(body[at + 8 : at + 8 + size])
-        at += 8 + size
+    return own, names, np.bincount(piece_of[at], minlength=len(pieces)), minima[at], np.diff(np.append(at, len(minima)))
 
 
 def _answer(body: bytes) -> tuple[np.ndarray, ...]:
@@ -384,7 +395,7 @@ def _apply(table: pa.Table, flags: pa.Table, buckets: int, length: int, with_tex
     sizes = np.array([len(t) for t in texts], np.int64)
     removed, spans = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     cuts: dict[int, list[tuple[int, int]]] = {}
-    found = [a for x in answers(flags, 1).values() for a in _answers(x)]
+    found = [_answer(x) for x in answers(flags, 1).values()]
     if len(texts) and found:
         runs = _flagged(texts, doc_ids, flags, buckets, length)
         names, counts, minima = (np.concatenate(x) for x in zip(*found))
@@ -428,7 +439,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool
     texts = deal(docs, parts, keep)
     sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, length=length), SKETCHES)
     flags = sketches.groupBy("bucket").applyInArrow(grouped(merge_sketches, hot=hot), FLAGS).repartition(parts, "part")
-    pieces = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(paired(_pieces, buckets=parts, length=length), "bucket int, part int, pieces array<binary>, sizes array<binary>, least array<binary>")
+    pieces = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(paired(_pieces, buckets=parts, length=length), PIECES)
     classes = pieces.groupBy("bucket").applyInArrow(grouped(_classes, length=length), FLAGS).repartition(parts, "part")
     both = flags.unionByName(classes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import suffix_array
+from quarry.llm.parts import merge_sketches
 from quarry.llm.suffix_array import HOT, Runs, drop_repeats, remove_repeated_bytes, suffix_order
 
 END = float("inf")
@@ -129,3 +132,28 @@ def test_hot_runs_are_keyed_at_once(monkeypatch):
     assert seen == sum(len(t) - 49 for t in texts)
     assert all(len(keys[line[k : k + 50]]) == 1 for k in range(len(line) - 49))
     assert len(set().union(*keys.values())) > len(texts)
+
+
+def test_a_pair_of_part_and_bucket_costs_little():
+    """Pairs of part and bucket grow with the square of the input, so a bucket does next to nothing for each, only for each piece."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(90)).encode() for _ in range(4)]
+
+    def bucket(parts):
+        table = lambda part: pa.table({"part": pa.array([part] * 4, pa.int32()), "doc_id": pa.array(range(part, part + 4)), "body": pa.array(texts, pa.binary())})
+        flags = merge_sketches(pa.concat_tables([suffix_array._sketch(table(k), 1, 50) for k in range(parts)]), hot=HOT)
+        return pa.concat_tables([suffix_array._pieces(table(k), flags.filter(pa.array(np.array(flags["part"]) == k)), 1, 50) for k in range(parts)])
+
+    def calls(table):
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(1) if event == "c_call" else None)
+        try:
+            out = suffix_array._classes(table, 50)
+        finally:
+            sys.setprofile(None)
+        assert len(out) == len(table)
+        return len(seen)
+
+    few, many = bucket(20), bucket(120)
+    pieces = sum(len(x) if isinstance(x, bytes) else sum(map(len, x)) for x in many["sizes"].to_pylist()) // 2 // 120
+    assert pieces >= 4 and (calls(many) - calls(few)) / 100 <= 10 + 3 * pieces

@@ -1,25 +1,28 @@
-"""Near-duplicates by the Jaccard similarity of their shingles: SimHash in BK-trees, made exact.
+"""Near-duplicates: candidates by SimHash in shards of BK-trees, checked exactly, and an exact way for the rest.
 
 A group is what is linked, directly or over others, by a similarity of `similarity` or more between
-sets of `shingle` words.  Fingerprints of 64 bits cannot tell such pairs from others, so they have 512
-here and only say where to look first; no link depends on them.
+sets of `shingle` words.
 
 1. Texts are lower-cased (A-Z) and cut into words.  Equal sequences of words are one *node*; each
    input split sends a node's text on once, so a text in a third of all rows is sent once a split.
 2. Parts send the 32 high bits of their distinct shingles to buckets and get back how many nodes have
    them (never too low, on a scale of logarithms).  That makes one order of all shingles, rare ones
    first.  Two sets of the similarity share one of the first n - ceil(similarity * n) + 1 shingles
-   of each, so nodes that share none of these are never compared: no link is lost.
-3. A *shard* is the nodes that share such a shingle.  Shards of the same nodes are one.  A shard of
-   more than `chunk` nodes is cut into chunks.
-4. In a shard each node first goes to the nearest leaders of a BK-tree (children keyed by their integer
-   Hamming distance to the parent; only edges within the radius are followed).  Then all pairs that
+   of each, so a node that shares none of these has no link and goes no further.
+3. The others get a SimHash fingerprint of 64 bits.  Fingerprints are dealt into shards by blocks of
+   bits, each shard searches a BK-tree, and what is linked within `simhash.RADIUS` bits is a
+   *SimHash group*: the first candidates (`simhash.links`, as in op5).
+4. Similar texts may differ in more bits, so nodes that share one of their first shingles are
+   candidates too, but only where they are of several SimHash groups: no link is lost.
+5. A *shard* is a SimHash group, or the nodes that share such a shingle.  Shards of the same nodes are
+   one.  A shard of more than `chunk` nodes is cut into chunks.  All comparisons are exact, on the
+   sets; a shard gives a tree of links, not its pairs.  Each node first goes to the nearest leaders
+   of a BK-tree of wide fingerprints (512 bits, to order the comparisons only).  Then all pairs that
    are still in different groups and not ruled out by their sizes or by the place of the shared
-   shingle are compared.  All comparisons are exact, on the sets; a shard gives a tree of links, not
-   its pairs.
-5. Shards with several chunks go on with one node of each group found until it fits one chunk, then
+   shingle are compared.
+6. Shards with several chunks go on with one node of each group found until it fits one chunk, then
    the nodes outside the largest group meet all others, chunk by chunk.
-6. Links are joined by connected components.  The row with the smallest (doc_id, hash of its text)
+7. Links are joined by connected components.  The row with the smallest (doc_id, hash of its text)
    of a group stays, one row where it is repeated.
 
 Defined cases: texts without words (null, empty, white space) are one group; fewer words than a
@@ -41,7 +44,7 @@ from xxhash import xxh3_64_intdigest
 
 from quarry.llm.components import connected_components
 from quarry.llm.parts import FLAGS, NO_ID, U64, answers, chunks, group_starts, grouped, mix, pack, paired, part_count, rolled, unpack
-from quarry.llm.simhash import BKTree, bit_counts
+from quarry.llm.simhash import BKTree, bit_counts, links
 from quarry.session import checkpointed
 
 SHINGLE, SIMILARITY, CHUNK = 5, 0.8, 4096
@@ -76,6 +79,14 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, signed: a bit is set if it is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        counts += bit_counts(np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def wide_fingerprint(hashes: np.ndarray) -> int:
     """512 bits of a set of shingles: eight fingerprints of hashes mixed from the first."""
     counts = np.zeros(8 * WIDE_BYTES, np.int64)
@@ -158,7 +169,7 @@ def _ranks(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([0] * len(parts), pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "body": pa.array(out, pa.binary())})
 
 
-NODES = "node long, size long, hashes binary, keys array<struct<key: long, rank: int, place: int>>"
+NODES = "node long, size long, print long, hashes binary, keys array<struct<key: long, rank: int, place: int>>"
 
 
 def _keys(table: pa.Table, found: pa.Table, buckets: int, shingle: int, similarity: float) -> pa.Table:
@@ -177,25 +188,36 @@ def _keys(table: pa.Table, found: pa.Table, buckets: int, shingle: int, similari
             places = np.flatnonzero(rank[used] > 0)
             if len(places):
                 used = used[places]
-                out.append((node, n, s.tobytes(), p.flat[used].view(np.int64), rank[used], places))
-    nodes, sizes, hashes, keys, ranks, places = zip(*out) if out else ((),) * 6
+                out.append((node, n, set_fingerprint(s), s.tobytes(), p.flat[used].view(np.int64), rank[used], places))
+    nodes, sizes, prints, hashes, keys, ranks, places = zip(*out) if out else ((),) * 7
     join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
     keys_ = pa.StructArray.from_arrays([join(keys, np.int64), join(ranks, np.int32), join(places, np.int32)], ["key", "rank", "place"])
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-    return pa.table({"node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "hashes": pa.array(hashes, pa.binary()), "keys": pa.ListArray.from_arrays(offsets, keys_)})
+    return pa.table({"node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "print": pa.array(prints, pa.int64()), "hashes": pa.array(hashes, pa.binary()), "keys": pa.ListArray.from_arrays(offsets, keys_)})
+
+
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """(print, near): each fingerprint and the least of those linked with it within the radius, by BK-trees in shards."""
+    prints = checkpointed(nodes.select("print").distinct())
+    found = connected_components(links(prints)).withColumnRenamed("node", "print")
+    return prints.join(found, "print", "left").select("print", F.coalesce("component", "print").alias("near"))
 
 
 def _shards(nodes: DataFrame) -> DataFrame:
-    """(shard, n, low, node, size, central, place): n nodes that share a key, `low` the least; keys of the same nodes are one shard, the first in order.
+    """(shard, n, low, node, size, central, place): n nodes of one SimHash group or with one key, `low` the least.
 
+    A key inside one SimHash group adds nothing to it; keys of the same nodes are one shard, the first in order.
     The same nodes: as many, with the same sums (bitwise) of two hashes.
     """
     central = F.size("keys") / F.col("size")
-    keys = nodes.select("node", "size", central.alias("central"), F.explode("keys").alias("key")).select("node", "size", "central", "key.*")
+    near = nodes.select("node", "size", "print", central.alias("central"), "keys").join(simhash_groups(nodes), "print").drop("print")
+    whole = F.struct(F.xxhash64(F.lit("near"), "near").alias("key"), F.lit(-1).alias("rank"), F.lit(0).alias("place"))
+    keys = near.select("node", "size", "near", "central", F.explode(F.concat(F.array(whole), "keys")).alias("key")).select("node", "size", "near", "central", "key.*")
     same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "node")).alias("y")]
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), *same, F.min("rank").alias("rank")).where("n > 1")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), *same, F.min("rank").alias("rank"), (F.min("near") != F.max("near")).alias("across"))
+    shared = shared.where("n > 1 and (rank < 0 or across)")
     one = shared.groupBy("n", "low", "x", "y").agg(F.min(F.struct("rank", "key")).alias("one")).select("n", "low", F.col("one.key").alias("key"))
-    return keys.drop("rank").join(one, "key").withColumnRenamed("key", "shard")
+    return keys.drop("rank", "near").join(one, "key").withColumnRenamed("key", "shard")
 
 
 # --- links inside a shard ----------------------------------------------------------------------
@@ -330,13 +352,18 @@ def _components(edges: DataFrame) -> DataFrame:
     return checkpointed(connected_components(edges))
 
 
-def grouped_nodes(docs: DataFrame, shingle: int, similarity: float, chunk: int) -> DataFrame:
-    """(node, component) of all nodes that have a link."""
-    parts = part_count(docs)
+def candidates(docs: DataFrame, parts: int, shingle: int, similarity: float) -> DataFrame:
+    """NODES that share one of their first shingles with another."""
     texts = _dealt_texts(docs, parts)
     sent = texts.groupBy("part").applyInArrow(grouped(_send, buckets=parts, shingle=shingle), "bucket int, part int, prints binary, counts binary")
     ranks = sent.groupBy("bucket").applyInArrow(_ranks, FLAGS)
-    nodes = checkpointed(texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(paired(_keys, buckets=parts, shingle=shingle, similarity=similarity), NODES))
+    return checkpointed(texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(paired(_keys, buckets=parts, shingle=shingle, similarity=similarity), NODES))
+
+
+def grouped_nodes(docs: DataFrame, shingle: int, similarity: float, chunk: int) -> DataFrame:
+    """(node, component) of all nodes that have a link."""
+    parts = part_count(docs)
+    nodes = candidates(docs, parts, shingle, similarity)
     shards = checkpointed(_shards(nodes))
     edges = checkpointed(_links(_in_chunks(shards, chunk, parts), nodes, similarity))
     groups = _components(edges)

@@ -1,6 +1,6 @@
 import random
 
-from quarry.llm.similar import keep_one_of_each_group, similar_groups
+from quarry.llm.similar import _shards, candidates, keep_one_of_each_group, node_names, set_fingerprint, shingle_sets, similar_groups, simhash_groups
 
 
 def words(rnd, n):
@@ -48,3 +48,35 @@ def test_chunks_find_all_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     whole = {r.doc_id: r.component_id for r in similar_groups(docs).collect()}
     assert {r.doc_id: r.component_id for r in similar_groups(docs, chunk=4).collect()} == whole
+
+
+def test_simhash_finds_the_first_candidates(spark):
+    """SimHash groups against brute force; keys inside one of them are no shards; what is further apart is linked too."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(12):
+        base = words(rnd, 400)
+        rows.append(" ".join(base))
+        for changed in (1, 2, 8):  # the last one is beyond the radius
+            copy = list(base)
+            for at in range(changed):
+                copy[at * 30 + k] = "x"
+            rows.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    nodes = candidates(docs, 3, 5, 0.8)
+    prints = {r.node: r.print & 2**64 - 1 for r in nodes.collect()}
+    assert prints == {n: set_fingerprint(s) & 2**64 - 1 for n, s in zip(node_names([t.encode() for t in rows]), shingle_sets([t.encode() for t in rows], 5))}
+    near = {n: n for n in prints}
+    for a in prints:
+        for b in prints:
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and near[a] != near[b]:
+                near = {n: near[a] if g == near[b] else g for n, g in near.items()}
+    groups = {frozenset(n for n in near if near[n] == g) for g in near.values()}
+    by_print = {r.print & 2**64 - 1: r.near for r in simhash_groups(nodes).collect()}
+    assert {frozenset(n for n in prints if by_print[prints[n]] == g) for g in by_print.values()} == groups
+    shards = {}
+    for r in _shards(nodes).collect():
+        shards.setdefault(r.shard, set()).add(r.node)
+    inside = [s for s in shards.values() if any(s <= g for g in groups)]
+    assert sorted(map(sorted, inside)) == sorted(sorted(g) for g in groups if len(g) > 1) and 0 < len(inside) < len(shards)
+    assert {r.doc_id: r.component_id for r in similar_groups(docs).collect()} == {i: i // 4 * 4 for i in range(48)}

@@ -27,6 +27,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from quarry.llm.parts import U64, chunks, group_starts, mix
@@ -46,6 +47,7 @@ CLASSES, SPACES, SYMBOLS = 7, b" \t\n\v\f\r", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 FULL, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_SHARE, CHANCE = 100, 0.28, 0.50, 0.0001, 1e-4
 STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>"
+JUDGED = "lang string, n_words long, n_repeat_words long, classes array<int>, common array<int>"
 
 
 def _class_table() -> np.ndarray:
@@ -59,6 +61,10 @@ def _class_table() -> np.ndarray:
 CLASS_OF = _class_table()
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def _duplicate_lines(text: bytes) -> int:
     lines = [x for x in text.split(b"\n") if x.strip()]
     return len(lines) - len(set(lines))
@@ -112,9 +118,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             s = statistics(batch.column(2).to_pylist())
             arrays = [batch.column(0), batch.column(1), *(pa.array(s[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
-            for k in ("classes", "common"):
-                offsets = np.arange(len(s[k]) + 1, dtype=np.int32) * s[k].shape[1]
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[k].ravel())))
+            arrays += [_lists(s[k]) for k in ("classes", "common")]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -197,20 +201,34 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, each judged by its own text and language: a pass for the references, a second one to filter."""
-    known = references(document_statistics(docs), MIN_SHARE)
-    text = docs.schema.fieldNames().index("text")
-    lang = docs.schema.fieldNames().index("lang") if "lang" in docs.columns else None
+    """The rows that are kept, each judged by its own text and language.
 
-    def run(batches):
+    One pass over the texts: rows that pass the base rules are written with their histograms, which give the
+    references and are then judged by them.
+    """
+    names = docs.columns
+    text = names.index("text")
+    lang = names.index("lang") if "lang" in names else None
+    row = StructType([StructField("row", StructType(docs.schema.fields)), *StructType.fromDDL(JUDGED).fields])
+
+    def measured(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
-            s = statistics(texts)
-            langs = batch.column(lang).to_pylist() if lang is not None else [None] * len(texts)
-            keep = (s["n_words"] >= MIN_WORDS) & (100 * s["n_repeat_words"] <= MAX_REPEAT_PERCENT * s["n_words"])
-            most = limits(s["n_words"], langs, known, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE)
-            for distance, limit in zip(both_distances(s["classes"], s["common"], langs, known), most):
+            s = statistics([(t or "").encode() for t in batch.column(text).to_pylist()])
+            passed = (s["n_words"] >= MIN_WORDS) & (100 * s["n_repeat_words"] <= MAX_REPEAT_PERCENT * s["n_words"])
+            langs = batch.column(lang).cast(pa.string()) if lang is not None else pa.nulls(batch.num_rows, pa.string())
+            arrays = [pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), langs, *(pa.array(s[k]) for k in ("n_words", "n_repeat_words")), *(_lists(s[k]) for k in ("classes", "common"))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "lang", "n_words", "n_repeat_words", "classes", "common"]).filter(pa.array(passed))
+
+    passed = checkpointed(docs.mapInArrow(measured, row))
+    known = references(passed, MIN_SHARE)
+
+    def judged(batches):
+        for batch in batches:
+            hists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in ("classes", "common")]
+            langs, keep = batch.column("lang").to_pylist(), np.ones(batch.num_rows, bool)
+            most = limits(batch.column("n_words").to_numpy(), langs, known, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE)
+            for distance, limit in zip(both_distances(*hists, langs, known), most):
                 keep &= distance <= limit
-            yield batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(batch.column("row").filter(pa.array(keep)).flatten(), names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return passed.mapInArrow(judged, docs.schema)

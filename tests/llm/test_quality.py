@@ -107,3 +107,24 @@ def test_words_alone_reject_a_text(spark):
     assert not found[99].base_failed and found[99].class_distance <= MAX_CLASS_DISTANCE
     assert [i for i, r in found.items() if not r.base_failed and not r.kept] == [99]
     assert 99 not in {r.doc_id for r in drop_low_quality(docs).collect()}
+
+
+def test_each_text_is_measured_once(spark, tmp_path):
+    """The filter measures no text a second time, and rows keep columns that are named like its own."""
+    rnd = random.Random(7)
+    text = lambda: " ".join(rnd.choice(WORDS) if rnd.random() < 0.4 else "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(3, 9))) for _ in range(120))
+    rows = [(i, text(), "en", f"r{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string").selectExpr("*", "row as n_words", "row as classes")
+    log = tmp_path / "seen"
+
+    def noted(batches):
+        for batch in batches:
+            with log.open("a") as f:
+                f.write("".join(f"{x}\n" for x in batch.column(0).to_pylist()))
+            yield batch
+
+    out = drop_low_quality(docs.mapInArrow(noted, docs.schema))
+    found = out.collect()
+    assert out.columns == docs.columns and found
+    assert all(r.row == r.n_words == r.classes == f"r{r.doc_id}" for r in found)
+    assert sorted(map(int, log.read_text().split())) == list(range(20))

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 FLAGS = "part int, kind int, bucket int, body binary"
+#: Fingerprints that are counted together.
+SKETCHED = 1 << 17
 
 
 def part_count(frame: DataFrame) -> int:
@@ -184,7 +186,8 @@ def merge_sketches(table: pa.Table, hot: int | None = None) -> pa.Table:
 
     Two counter rows are addressed by a fingerprint; the estimate is the smaller counter, which is
     never below the true number of documents (saturated at two a part).  Their width follows the
-    number of fingerprints in the bucket, eight counters for each.
+    number of fingerprints in the bucket, eight counters for each; many fingerprints are dealt into
+    groups by their remainder, one after another, so that the counters stay small.
     """
     parts = table.column("part").to_pylist()
     prints = [np.frombuffer(x, np.uint32) for x in table.column("prints").to_pylist()]
@@ -192,18 +195,26 @@ def merge_sketches(table: pa.Table, hot: int | None = None) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     sizes = [len(p) for p in prints]
     every, counts = np.concatenate(prints), np.concatenate(weights)
-    bits = min(28, max(10, int(8 * len(every)).bit_length()))
+    groups = 1 + len(every) // SKETCHED
+    bits = min(28, max(10, (8 * len(every) // groups).bit_length()))
     contents = None if hot is None else np.exp2(np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8))
-    estimate = total = None
-    for factor in (0x9E3779B1, 0x85EBCA77):
-        slot = (every * np.uint32(factor)) >> np.uint32(32 - bits)
-        row = np.bincount(slot, minlength=1 << bits) + np.bincount(slot[counts > 1], minlength=1 << bits)
-        row = np.minimum(row, 2).astype(np.uint8)[slot]
-        estimate = row if estimate is None else np.minimum(estimate, row)
+    planes = [np.zeros(len(every), bool) for _ in range(1 if hot is None else 2)]
+    for k in range(groups):
+        mine = np.flatnonzero(every % np.uint32(groups) == k)
+        many = mine[counts[mine] > 1]
+        estimate = total = None
+        for factor in (0x9E3779B1, 0x85EBCA77):
+            slots = lambda which, f=np.uint32(factor): (every[which] * f) >> np.uint32(32 - bits)
+            slot = slots(mine)
+            row = np.bincount(slot, minlength=1 << bits) + np.bincount(slots(many), minlength=1 << bits)
+            row = np.minimum(row, 2).astype(np.uint8)[slot]
+            estimate = row if estimate is None else np.minimum(estimate, row)
+            if hot is not None:
+                amount = np.bincount(slot, contents[mine], 1 << bits)[slot]
+                total = amount if total is None else np.minimum(total, amount)
+        planes[0][mine] = estimate >= 2
         if hot is not None:
-            amount = np.bincount(slot, contents, 1 << bits)[slot]
-            total = amount if total is None else np.minimum(total, amount)
-    planes = [estimate >= 2] if hot is None else [estimate >= 2, total > hot]
+            planes[1][mine] = total > hot
     out, at = [], 0
     for n in sizes:
         out.append(b"".join(np.packbits(x[at : at + n]).tobytes() for x in planes))

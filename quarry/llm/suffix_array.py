@@ -29,6 +29,8 @@ carried in `rest` if named.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ from quarry.llm.parts import FLAGS, NO_ID, SKETCHES, U64, Prints, answers, bodie
 
 LENGTH = 50
 ANCHOR = 16
-#: A bucket is sorted in so many slices, dealt by the anchor, to bound its work arrays.
-SLICES = 8
+#: A bucket's pieces come in so many slices, dealt by the anchor; slices are sorted together, and texts searched, up to so many bytes, to bound the work arrays.
+SLICES, SORTED = 32, 1 << 20
 #: Pieces of one anchor that are kept together, and the windows of a piece (of 54 bytes) beyond that.
 HOT, STEP = 8192, 5
 
@@ -156,7 +158,7 @@ class Runs:
     def __init__(self, texts: list[bytes], length: int, contents: bool = False):
         rows, starts, counts, places, keys, ends = [], [], [], [], [], []
         spread = length - ANCHOR + 1
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, SORTED):
             sizes = np.array([len(t) for t in texts[lo:hi]], np.int64)
             buffer = b"".join(texts[lo:hi])
             if len(buffer) < length:
@@ -208,20 +210,27 @@ class Runs:
         group = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
         row, start, end, place = row[of], start[of], end[of], place[of]
         shared = place - group * STEP
-        used, at = np.unique(row, return_inverse=True)
-        first = np.cumsum([0, *(len(texts[r]) for r in used.tolist())])
-        w, at = _words(b"".join(texts[r] for r in used.tolist())), first[at] + shared
+        used, of = np.unique(row, return_inverse=True)  # rows ascend
+        held = [texts[r] for r in used.tolist()]
         key, size = group.astype(U64), length - STEP + 1
-        for k in (*range(0, size - 7, 8), size - 8):
-            key = mix(key * U64(0x9E3779B97F4A7C15) + w[at + k] + U64(1))
+        for lo, hi in chunks(held, SORTED):
+            w, first = _words(b"".join(held[lo:hi])), np.cumsum([0, *map(len, held[lo:hi])])
+            mine = slice(*np.searchsorted(of, (lo, hi)).tolist())
+            at = first[of[mine] - lo] + shared[mine]
+            for k in (*range(0, size - 7, 8), size - 8):
+                key[mine] = mix(key[mine] * U64(0x9E3779B97F4A7C15) + w[at + k] + U64(1))
         start = np.maximum(start, shared - (STEP - 1))
         count = np.minimum(end, shared + 1) - start
         self.keep(~hot)
         self.row, self.start, self.count, self.place, self.key = (np.concatenate(x) for x in ((self.row, row), (self.start, start), (self.count, count), (self.place, place), (self.key, key)))
 
-    def pieces(self, texts: list[bytes], length: int) -> list[bytes]:
+    def pieces(self, texts: list[bytes], length: int) -> Iterator[bytes]:
         ends = self.start + self.count + (length - 1)
-        return [texts[r][a:b] for r, a, b in zip(self.row.tolist(), self.start.tolist(), ends.tolist())]
+        return (texts[r][a:b] for r, a, b in zip(self.row.tolist(), self.start.tolist(), ends.tolist()))
+
+    def names(self, texts: list[bytes], length: int) -> np.ndarray:
+        """A 64-bit hash of each piece."""
+        return np.fromiter(map(xxh3_64_intdigest, self.pieces(texts, length)), U64, len(self.row))
 
 
 def _slice_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -245,7 +254,15 @@ def _flagged(texts: list[bytes], doc_ids: np.ndarray, flags: pa.Table, buckets:
 PIECES = "bucket int, part int, pieces binary, sizes binary, least binary, slices binary"
 
 
-def _cut(data, ends: np.ndarray) -> pa.Array:
+def _joined(column: pa.ChunkedArray) -> bytes:
+    """The bytes of all rows, one after another, without an object a row."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    _, offsets, data = whole.buffers()
+    at = np.frombuffer(offsets, np.int32, len(whole) + 1, 4 * whole.offset)
+    return data[int(at[0]) : int(at[-1])].to_pybytes() if at[-1] > at[0] else b""
+
+
+def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The bytes of an array, cut at its rows `ends` (the last is its length), without a step a piece."""
     raw = np.ascontiguousarray(data).view(np.uint8)
     width = data.dtype.itemsize
@@ -254,37 +271,36 @@ def _cut(data, ends: np.ndarray) -> pa.Array:
 
 
 def _pieces(table: pa.Table, flags: pa.Table, buckets: int, length: int) -> pa.Table:
-    """PIECES of one part: its distinct pieces for each bucket, slice by slice, with their sizes, smallest documents and the pieces a slice."""
-    least: dict[bytes, int] = {}
-    new: list[int] = []
-    part, which = 0, np.zeros(0, np.int64)
-    bucket = which
+    """PIECES of one part: its distinct pieces for each bucket, slice by slice, with their sizes, smallest documents and the pieces a slice.
+
+    Pieces of one bucket and slice are told apart by their names, and only one bucket's are held as objects.
+    """
+    texts: list[bytes] = []
+    part, least, sizes, bucket, which = 0, *(np.zeros(0, np.int64) for _ in range(4))
+    text: Iterator[bytes] = iter(())
     if len(table):
         part = table.column("part")[0].as_py()
         texts, doc_ids = bodies(table), ids(table)
         runs = _flagged(texts, doc_ids, flags, buckets, length)
-        runs.keep(np.lexsort((_slice_of(runs.key, buckets), runs.key % U64(buckets))))
-        bucket, which = (runs.key % U64(buckets)).astype(np.int64), _slice_of(runs.key, buckets)
-        for k, (piece, doc) in enumerate(zip(runs.pieces(texts, length), doc_ids[runs.row].tolist())):
-            known = least.get(piece)  # equal pieces have equal keys, so a piece is sent once
-            if known is None:
-                new.append(k)
-                least[piece] = doc
-            elif doc < known:
-                least[piece] = doc
-    bucket, which = bucket[new], which[new]
+        names = runs.names(texts, length)
+        key = (runs.key % U64(buckets)) * U64(SLICES) + _slice_of(runs.key, buckets).astype(U64)
+        order = np.lexsort((names, key))
+        at = group_starts(key[order], names[order])
+        if len(at):
+            least = np.minimum.reduceat(doc_ids[runs.row[order]], at)
+        runs.keep(order[at])
+        key, sizes, text = key[order[at]].astype(np.int64), runs.count + (length - 1), runs.pieces(texts, length)
+        bucket, which = key // SLICES, key % SLICES
     at = group_starts(bucket)
     ends = np.append(at[1:], len(bucket)) if len(at) else at
     of = np.repeat(np.arange(len(at)), ends - at)
-    sizes = np.fromiter(map(len, least), np.uint16, len(least))
-    text_ends = np.cumsum(sizes, dtype=np.int64)[ends - 1] if len(at) else at
     slices = np.bincount(of * SLICES + which, minlength=len(at) * SLICES).astype(np.uint32)
     columns = [
         pa.array(bucket[at], pa.int32()),
         pa.array(np.full(len(at), part), pa.int32()),
-        _cut(np.frombuffer(b"".join(least), np.uint8), text_ends),
-        _cut(sizes, ends),
-        _cut(np.fromiter(least.values(), np.int64, len(least)), ends),
+        pa.array([b"".join(islice(text, n)) for n in (ends - at).tolist()], pa.binary()),
+        _cut(sizes.astype(np.uint16), ends),
+        _cut(least, ends),
         _cut(slices, np.arange(1, len(at) + 1) * SLICES),
     ]
     return pa.table(columns, names=["bucket", "part", "pieces", "sizes", "least", "slices"])
@@ -327,20 +343,20 @@ def _classes(table: pa.Table, length: int) -> pa.Table:
     cutting the answers, nothing is done part by part: there are as many pairs of part and bucket as the square of the parts.
     """
     parts, bucket = table.column("part").to_pylist(), table.column("bucket")[0].as_py()
-    text, sizes, docs, slices = (b"".join(table.column(c).to_pylist()) for c in ("pieces", "sizes", "least", "slices"))
+    text, sizes, docs, slices = (_joined(table.column(c)) for c in ("pieces", "sizes", "least", "slices"))
     sizes, docs, slices = np.frombuffer(sizes, np.uint16).astype(np.int64), np.frombuffer(docs, np.int64), np.frombuffer(slices, np.uint32)
     ends = np.cumsum(sizes)
     which = np.repeat(np.tile(np.arange(SLICES), len(parts)), slices)
     names, many, start = np.zeros(len(sizes), U64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     run_docs, run_lens, base = [], [], 0
-    for k in range(SLICES):
-        mine = np.flatnonzero(which == k)
-        if len(mine):
-            own, name, per_piece, run_doc, run_len = _slice_classes([text[a:b] for a, b in zip((ends - sizes)[mine].tolist(), ends[mine].tolist())], docs[mine], length)
-            names[mine], many[mine], start[mine] = name[own], per_piece[own], base + (np.cumsum(per_piece) - per_piece)[own]
-            run_docs.append(run_doc)
-            run_lens.append(run_len)
-            base += len(run_doc)
+    together = (np.cumsum(np.bincount(which, sizes, SLICES)) // SORTED)[which]
+    for k in np.unique(together).tolist():
+        mine = np.flatnonzero(together == k)
+        own, name, per_piece, run_doc, run_len = _slice_classes((text[a:b] for a, b in zip((ends - sizes)[mine].tolist(), ends[mine].tolist())), docs[mine], length)
+        names[mine], many[mine], start[mine] = name[own], per_piece[own], base + (np.cumsum(per_piece) - per_piece)[own]
+        run_docs.append(run_doc)
+        run_lens.append(run_len)
+        base += len(run_doc)
     take = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     run_doc = np.concatenate([np.zeros(0, np.int64), *run_docs])[take]
     run_len = np.concatenate([np.zeros(0, np.int64), *run_lens])[take].astype(np.uint16)
@@ -352,10 +368,10 @@ def _classes(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array([1] * len(parts), pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "body": pa.array(out, pa.binary())})
 
 
-def _slice_classes(sent: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """One slice of a bucket: the distinct piece of each piece sent; their names, and their runs of windows by smallest document."""
+def _slice_classes(sent: Iterator[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Some slices of a bucket: the distinct piece of each piece sent; their names, and their runs of windows by smallest document."""
     index: dict[bytes, int] = {}
-    own = np.fromiter((index.setdefault(piece, len(index)) for piece in sent), np.int64, len(sent))
+    own = np.fromiter((index.setdefault(piece, len(index)) for piece in sent), np.int64, len(docs))
     pieces = list(index)
     least = np.full(len(pieces), NO_ID)
     np.minimum.at(least, own, docs)
@@ -367,16 +383,12 @@ def _slice_classes(sent: list[bytes], docs: np.ndarray, length: int) -> tuple[np
 
 
 def _answer(body: bytes) -> tuple[np.ndarray, ...]:
-    """Names of pieces, windows in each, smallest document of each window (flat)."""
+    """Names of pieces, runs of windows in each; smallest document and windows of each run (flat)."""
     k = int.from_bytes(body[:8], "little")
-    names = np.frombuffer(body, U64, k, 8)
     runs = (len(body) - 8 - 10 * k) // 10
     docs = np.frombuffer(body, np.int64, runs, 8 + 8 * k)
     n = np.frombuffer(body, np.uint16, k, 8 + 8 * k + 8 * runs)
-    length = np.frombuffer(body, np.uint16, runs, 8 + 10 * k + 8 * runs).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(length)])
-    last = np.cumsum(n, dtype=np.int64)
-    return names, ends[last] - ends[last - n], np.repeat(docs, length)
+    return np.frombuffer(body, U64, k, 8), n, docs, np.frombuffer(body, np.uint16, runs, 8 + 10 * k + 8 * runs)
 
 
 def whole_characters(text: bytes, a: int, b: int) -> bytes:
@@ -398,24 +410,26 @@ def _apply(table: pa.Table, flags: pa.Table, buckets: int, length: int, with_tex
     found = [_answer(x) for x in answers(flags, 1).values()]
     if len(texts) and found:
         runs = _flagged(texts, doc_ids, flags, buckets, length)
-        names, counts, minima = (np.concatenate(x) for x in zip(*found))
-        base = np.cumsum(counts) - counts
+        names, many, docs, sizes_ = (np.concatenate(x) for x in zip(*found))
+        many, sizes_ = many.astype(np.int64), sizes_.astype(np.int64)
+        base, before = np.cumsum(many) - many, np.cumsum(sizes_) - sizes_
         order = np.argsort(names)
-        own = np.fromiter(map(xxh3_64_intdigest, runs.pieces(texts, length)), U64, len(runs.row))
-        hit = order[np.searchsorted(names[order], own)]
-        n = runs.count
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(runs.row, n)
-        gone = minima[np.repeat(base[hit], n) + inner] < doc_ids[row]
-        row, start = row[gone], (np.repeat(runs.start, n) + inner)[gone]
+        hit = order[np.searchsorted(names[order], runs.names(texts, length))]
+        # Windows stay in their runs of one smallest document, so repeats cost no array of a place a window.
+        n = many[hit]
+        of = np.repeat(np.arange(len(hit)), n)
+        at = base[hit][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        gone = docs[at] < doc_ids[runs.row[of]]
+        of, at = of[gone], at[gone]
         first = np.cumsum(sizes + 1) - (sizes + 1)
-        low = first[row] + start
-        low.sort()
-        # Unions of [low, low + length), in the coordinate of all texts with a gap after each.
+        low = first[runs.row[of]] + runs.start[of] + before[at] - before[base[hit][of]]
+        order = np.argsort(low)
+        low, high = low[order], (low + sizes_[at] + (length - 1))[order]
+        # Unions of [low, high), in the coordinate of all texts with a gap after each.
         new = np.ones(len(low), bool)
-        new[1:] = low[1:] > low[:-1] + length
+        new[1:] = low[1:] > high[:-1]
         a = low[new]
-        b = low[np.append(np.flatnonzero(new)[1:], len(low)) - 1] + length if len(low) else low
+        b = high[np.append(np.flatnonzero(new)[1:], len(low)) - 1] if len(low) else low
         r = np.searchsorted(first, a, side="right") - 1
         np.add.at(removed, r, b - a)
         np.add.at(spans, r, 1)

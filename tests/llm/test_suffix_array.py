@@ -1,6 +1,7 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -157,3 +158,22 @@ def test_a_pair_of_part_and_bucket_costs_little():
     few, many = bucket(20), bucket(120)
     pieces = sum(len(x) if isinstance(x, bytes) else sum(map(len, x)) for x in many["sizes"].to_pylist()) // 2 // 120
     assert pieces >= 4 and (calls(many) - calls(few)) / 100 <= 10 + 3 * pieces
+
+
+def test_a_part_full_of_repeats_stays_small():
+    """Marking the bytes takes memory by runs of windows, not eight bytes and more for each window many times over."""
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(20_000)).encode() for _ in range(300)]
+    table = lambda part: pa.table({"part": pa.array([part] * 300, pa.int32()), "doc_id": pa.array(range(300 * part, 300 * part + 300)), "body": pa.array(texts, pa.binary())})
+    flags = merge_sketches(pa.concat_tables([suffix_array._sketch(table(k), 1, 50) for k in range(2)]), hot=HOT)
+    of = lambda t, k: t.filter(pa.array(np.array(t["part"]) == k))
+    classes = suffix_array._classes(pa.concat_tables([suffix_array._pieces(table(k), of(flags, k), 1, 50) for k in range(2)]), 50)
+    size, both = sum(map(len, texts)), of(pa.concat_tables([flags, classes]), 1)
+    tracemalloc.start()
+    try:
+        out = suffix_array._apply(table(1), both, 1, 50, False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(out["n_removed"].to_pylist()) == size and set(out["n_spans"].to_pylist()) == {1}
+    assert peak < 30 * size

@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarry.llm.parts import FLAGS, NO_ID, SKETCHES, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, mix, paired, part_count
+from quarry.llm.parts import FLAGS, NO_ID, SKETCHES, U64, Prints, answers, bodies, chunks, deal, group_starts, grouped, ids, merge_sketches, mix, paired
 
 LENGTH = 50
 ANCHOR = 16
 #: A bucket's pieces come in so many slices, dealt by the anchor; slices are sorted together, and texts searched, up to so many bytes, to bound the work arrays.
 SLICES, SORTED = 32, 1 << 20
+#: Bytes of text in a part.
+PART = 3 << 22
 #: Pieces of one anchor that are kept together, and the windows of a piece (of 54 bytes) beyond that.
 HOT, STEP = 8192, 5
 
@@ -447,9 +449,19 @@ def _apply(table: pa.Table, flags: pa.Table, buckets: int, length: int, with_tex
     return pa.table(out)
 
 
+def _part_count(docs: DataFrame) -> int:
+    """Parts and buckets: the shuffle partitions, or more for more than PART bytes of text each.
+
+    They follow the bytes, not the input splits: pairs of part and bucket grow with the square of their number,
+    and small files or well compressed ones would make many parts too small or parts too large for a task's memory.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+
+
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = False, keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; on request `kept` (the remaining whole characters) and `rest` (columns named in keep)."""
-    parts = part_count(docs)
+    parts = _part_count(docs)
     texts = deal(docs, parts, keep)
     sketches = texts.groupBy("part").applyInArrow(grouped(_sketch, buckets=parts, length=length), SKETCHES)
     flags = sketches.groupBy("bucket").applyInArrow(grouped(merge_sketches, hot=hot), FLAGS).repartition(parts, "part")

@@ -177,3 +177,19 @@ def test_a_part_full_of_repeats_stays_small():
         tracemalloc.stop()
     assert sum(out["n_removed"].to_pylist()) == size and set(out["n_spans"].to_pylist()) == {1}
     assert peak < 30 * size
+
+
+def test_parts_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """Many small files make no more parts: the pairs of part and bucket would grow with the square of the files."""
+    path = str(tmp_path / "docs")
+    spark.range(400).selectExpr("id as doc_id", "repeat(chr(65 + id % 26), 100) as text").repartition(40).write.parquet(path)
+    docs = spark.read.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert docs.rdd.getNumPartitions() >= 40
+        assert suffix_array._part_count(docs) == 4
+        monkeypatch.setattr(suffix_array, "PART", 1000)
+        assert suffix_array._part_count(docs) == 40
+        assert suffix_array._part_count(docs.limit(0)) == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
